@@ -25,6 +25,12 @@ def op3_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.octet_length("kept_text").cast("long").alias("kept_bytes"), F.md5("kept_text").alias("kept_md5"))
 
 
+def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyhouse.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhouse.llm.licenses import scan_licenses
 
