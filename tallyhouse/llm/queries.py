@@ -31,6 +31,12 @@ def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyhouse.llm.neardup import Rule, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Rule(words=4, percent=80))
+
+
 def op6_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhouse.llm.licenses import scan_licenses
 
