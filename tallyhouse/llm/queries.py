@@ -43,6 +43,12 @@ def op6_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("notices")
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyhouse.llm.substrings import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op9_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
