@@ -49,6 +49,14 @@ def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyhouse.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def op9_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
