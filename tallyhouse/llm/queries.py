@@ -18,6 +18,12 @@ def op1_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyhouse.llm.vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op3_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhouse.llm.linedup import drop_boilerplate
 
