@@ -173,16 +173,31 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
     a class, the rules alone decide and probability is null. Null text: no words, so base_failed. Texts are
     read whole. Repeated rows repeat; an empty table gives no rows; other columns are ignored.
     """
-    model = train(docs, labels, per_class)
+    return _applied(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), train(docs, labels, per_class), keep_at, COLUMNS, False)
+
+
+def judged(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, keep_at: float = KEEP_AT) -> DataFrame:
+    """docs with a column kept, as score_quality decides it row by row; the other columns pass through, but for one named kept."""
+    return _applied(docs.drop("kept"), train(docs, labels, per_class), keep_at, "kept boolean", True)
+
+
+COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
+
+
+def _applied(rows: DataFrame, model: Model | None, keep_at: float, columns: str, through: bool) -> DataFrame:
     # FAMILIES * 2**BITS numbers, whatever the input
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict:
         own = sent.value
-        found = [measure(x, own) for x in as_bytes(batch.column(1))]
+        found = [measure(x, own) for x in as_bytes(batch.column("text"))]
         n, chars, symbols, dups, repeated, score = (list(x) for x in zip(*found, strict=True))
         failed = [a < MIN_WORDS or 100 * r > REPEAT_PERCENT * a for a, r in zip(n, repeated, strict=True)]
         p = [None] * len(n) if own is None else own.probability(np.array(score)).tolist()
-        return {"doc_id": batch.column(0), "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeated, "base_failed": failed, "kept": [not f and (x is None or x >= keep_at) for f, x in zip(failed, p, strict=True)], "probability": p}
+        keep = [not f and (x is None or x >= keep_at) for f, x in zip(failed, p, strict=True)]
+        if through:
+            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"kept": keep}
+        return {"doc_id": batch.column("doc_id"), "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeated, "base_failed": failed, "kept": keep, "probability": p}
 
-    return map_slices(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), work, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {columns}" if through else columns
+    return map_slices(rows, work, schema)
