@@ -218,6 +218,9 @@ class Engine:
             raise Refused("bad_arity", "more values than ?")
         return "".join([*out, text[at:]])
 
+    def attach(self, name: str, frame: DataFrame, record_id: str | None = None, kinds: dict[str, Field] | None = None) -> None:
+        self.store.attach(name, frame, record_id, kinds)
+
     def records(self, table: str, after: int | None = None, limit: int = 1000) -> DataFrame:
         return writes.records(self.store, table, after, limit)
 

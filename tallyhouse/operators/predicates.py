@@ -27,6 +27,20 @@ def compared(c: Column, op: str, v: Any) -> Column:
     return {"=": c == v, "!=": c != v, "<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[op]
 
 
+def in_days(key: str, low: dt.date | None, high: dt.date | None) -> Callable[[Column], Column]:
+    """Whether a pair of key and time has the key and lies in whole days."""
+
+    def test(pair: Column) -> Column:
+        out = pair["key"] == key
+        if low is not None:
+            out = out & (pair["at"].cast("date") >= F.lit(low))
+        if high is not None:
+            out = out & (pair["at"].cast("date") <= F.lit(high))
+        return out
+
+    return test
+
+
 def conjuncts(e: Any) -> list[Any]:
     return conjuncts(e.left) + conjuncts(e.right) if isinstance(e, Bin) and e.op == "and" else [e]
 
@@ -204,16 +218,7 @@ class Predicates:
             low = max((day(s) for op, s in bounds[col] if op == ">"), default=None)
             high = min((day(s) for op, s in bounds[col] if op == "<"), default=None)
 
-            def test(x: Column, key=key, low=low, high=high) -> Column:
-                ok = x["key"] == key
-                at = x["at"].cast("date")
-                if low is not None:
-                    ok = ok & (at >= F.lit(low))
-                if high is not None:
-                    ok = ok & (at <= F.lit(high))
-                return ok
-
-            own = F.exists(c, test)
+            own = F.exists(c, in_days(key, low, high))
             out = own if out is None else out & own
         return out, rest
 

@@ -143,7 +143,8 @@ class Selecting:
             else:
                 rest.append(term)
         if rest:
-            self.frame = self.frame.where(self.predicates.all_of(rest))
+            test = self.predicates.all_of(rest)  # may join memberships to the frame
+            self.frame = self.frame.where(test)
         if s.sample:
             if not self.source.has_ids:
                 raise Refused("sql_no_sample", "the table has no record ids")

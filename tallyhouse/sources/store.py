@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,16 @@ class Table:
         return T.StructType([T.StructField(ID, T.LongType(), False), *(T.StructField(f.name, f.spark_type) for f in self.fields)])
 
 
+def without_days(before: str) -> Callable[[Column], Column]:
+    """Retention drops the days, not the keys: a pair whose day is gone is read without its time."""
+
+    def pair(x: Column) -> Column:
+        gone = F.coalesce(x["at"].cast("date") < F.lit(before).cast("date"), F.lit(False))
+        return F.struct(x["key"].alias("key"), F.when(~gone, x["at"]).alias("at"))
+
+    return pair
+
+
 class Store:
     """Databases with their tables and views. With a root folder, managed tables and the catalog live there, on any file system that Spark reads."""
 
@@ -101,8 +112,9 @@ class Store:
         return found
 
     def attach(self, name: str, frame: DataFrame, record_id: str | None = None, kinds: dict[str, Field] | None = None) -> None:
-        """Name a DataFrame as a table; record_id is the column that holds its ids."""
+        """Name a DataFrame as a table; record_id is the column that holds its ids. Times without a zone are read as UTC."""
         d, t = self.split(name)
+        frame = frame.withColumns({c.name: F.col(f"`{c.name}`").cast("timestamp") for c in frame.schema if isinstance(c.dataType, T.TimestampNTZType)})
         fields = [(kinds or {}).get(c.name) or field_of(c) for c in frame.schema if c.name != record_id or record_id != ID]
         frame = frame.withColumn(ID, F.col(f"`{record_id}`").cast("long")) if record_id else frame
         self.databases.setdefault(d, {})[t] = Table(fields, frame=frame, has_ids=record_id is not None)
@@ -115,9 +127,7 @@ class Store:
             return self.spark.createDataFrame([], t.schema)
         out = self.spark.read.schema(t.schema).parquet(*t.parts)
         for name, day in t.days_from.items():
-            # retention drops the days, not the keys: a key whose day is gone is read without its time
-            gone = lambda x, day=day: x["at"].cast("date") < F.lit(day).cast("date")
-            out = out.withColumn(name, F.transform(name, lambda x, gone=gone: F.struct(x["key"].alias("key"), F.when(F.coalesce(gone(x), F.lit(False)), F.lit(None).cast("timestamp")).otherwise(x["at"]).alias("at"))))
+            out = out.withColumn(name, F.transform(name, without_days(day)))
         return out
 
     def source(self, name: str) -> Source:
