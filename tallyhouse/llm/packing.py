@@ -8,6 +8,9 @@ open are filled up from the emptiest ones, and the last is cut into powers of tw
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,44 +24,128 @@ from tallyhouse.llm.shared import as_texts, slices
 
 WINDOW = 2048
 #: Word forms whose ids a Python worker remembers, and words longer than this are never remembered.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 40
+REMEMBERED, REMEMBERED_CHARS = 500_000, 40
+
+# Characters for which lower case, normal form and splitting are certain: Latin letters that stay one
+# letter in lower case, digits, and ASCII signs without the apostrophe. Words of others go to the library.
+_LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
+_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
+#: Marks the end of a word; no byte of UTF-8.
+_END = b"\xff"
+
+
+def merge_table(vocabulary: str) -> tuple[dict[bytes, int], np.ndarray, bool]:
+    """Of a byte-pair vocabulary with word ends: ranks of byte strings, where a word's end is a byte of its own that joins the last one first; the id of each rank; and whether these ranks merge as the vocabulary's pairs do.
+
+    Ranks name results of merges, pairs name both halves. They agree if every token, merged by pairs,
+    comes out as itself: two neighbours that make a token are then always its own pair.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    byte_of = {}
+    spare = 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            byte_of[chr(b)] = b
+        else:
+            byte_of[chr(256 + spare)] = b
+            spare += 1
+    suffix = model["end_of_word_suffix"]
+
+    def raw(token: str) -> bytes:
+        end = token.endswith(suffix)
+        return bytes(byte_of[c] for c in (token[: -len(suffix)] if end else token)) + (_END if end else b"")
+
+    ranks: dict[bytes, int] = {}
+    ids: list[int] = []
+    chars = [c for c, b in byte_of.items() if b != _END[0]]
+    for single in (chars, [c + suffix for c in chars]):
+        for token in sorted(single, key=raw):
+            ranks[raw(token)] = len(ids)
+            ids.append(model["vocab"][token])
+    ranks[_END] = len(ids)  # never left alone, as it joins every byte first
+    ids.append(-1)
+    pairs = {}
+    for k, merge in enumerate(model["merges"]):
+        left, right = merge if isinstance(merge, list) else merge.split(" ")
+        pairs[left, right] = k
+        ranks[raw(left) + raw(right)] = len(ids)
+        ids.append(model["vocab"][left + right])
+    # the byte before a word's end must join it before anything else does
+    order = {token: rank for rank, token in enumerate(sorted(ranks, key=lambda t: (0 if len(t) == 1 else 1 if len(t) == 2 and t.endswith(_END) else 2, ranks[t])))}
+    table = np.zeros(len(order), np.int64)
+    for token, rank in order.items():
+        table[rank] = ids[ranks[token]]
+    same = all(alone(left + right, suffix, pairs) for left, right in pairs)
+    return order, table, same and len(order) == len(ids)
+
+
+def alone(token: str, suffix: str, pairs: dict[tuple[str, str], int]) -> bool:
+    """Whether merging a token's characters by pairs gives the token."""
+    parts = list(token.removesuffix(suffix))
+    if token.endswith(suffix):
+        parts[-1] += suffix
+    while len(parts) > 1:
+        k, at = min((pairs.get(p, len(pairs)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+        if k == len(pairs):
+            return False
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, word by word with a bounded memory.
 
     The tokenizer's normaliser and splitter never join characters over a space or a line break, so the ids
-    of a text are those of its parts between these.
+    of a text are those of its parts between these. Plain words are merged by a rank table made from the
+    vocabulary, if that is found to merge alike; all others by the tokenizers library.
     """
 
     def __init__(self, vocabulary: str, end_id: int | None):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
         self.model.encode_special_tokens = True
-        self.end = [] if end_id is None else [end_id]
-        self.known: dict[str, list[int]] = {"": []}
+        self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        self.known: dict[str, bytes] = {"": b""}
+        ranks, self.table, self.ranked = merge_table(vocabulary)
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece if self.ranked else None
+
+    def new(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.ranked else []
+        merge, ids, sizes = self.merge, [], []
+        for w in plain:
+            n = len(ids)
+            for piece in _PIECES.findall(w.lower()):
+                ids += merge(piece.encode() + _END)
+            sizes.append(len(ids) - n)
+        ends = (np.cumsum(sizes) * 4).tolist()
+        all_ids = self.table[np.array(ids, np.int64)].astype("<u4").tobytes()
+        out = {w: all_ids[e - 4 * n : e] for w, n, e in zip(plain, sizes, ends, strict=True)}
+        other = [w for w in words if w not in out]
+        out |= {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True)}
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        own = dict(zip(new, (x.ids for x in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if len(self.known) + len(own) > REMEMBERED:
-            self.known = {"": []}
-        self.known |= {w: i for w, i in own.items() if len(w) <= REMEMBERED_CHARS}
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += own[w] if w in own else self.known[w] if w in self.known else self.model.encode(w, add_special_tokens=False).ids
-            out.append(np.array(ids + self.end, np.uint32))
+        wanted: set[str] = set().union(*split)
+        if len(self.known) > REMEMBERED:
+            self.known = {w: self.known[w] for w in wanted if w in self.known} | {"": b""}
+        missing = [w for w in wanted if w not in self.known]
+        self.known |= self.new(missing)
+        find = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(find, words)) + self.end, "<u4") for words in split]
+        for w in missing:
+            if len(w) > REMEMBERED_CHARS:
+                del self.known[w]
         return out
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str, end_id: int | None) -> WordEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(vocabulary, end_id)
 
