@@ -62,7 +62,7 @@ def _search(notices: tuple):
             end = at + size + (k < rest)
             held.setdefault(text[at:end], []).append((n, at))
             at = end
-        patterns.append(regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}"))
+        patterns.append(regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?![^ ])"))
     for seed, uses in held.items():
         seeds.add_word(seed, (len(seed), uses))
     seeds.make_automaton()
@@ -90,8 +90,7 @@ def fuzzy_notices(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, i
             while at < hi and (m := patterns[n].search(text, at, hi)):
                 start, end = m.span()
                 at = max(end, start + 1)
-                if (start == 0 or text[start - 1] == " " or text[start] == " ") and (end == len(text) or text[end] == " " or text[end - 1] == " "):
-                    out.append((n, start, end, sum(m.fuzzy_counts)))
+                out.append((n, start, end, sum(m.fuzzy_counts)))
     return out
 
 
