@@ -11,7 +11,7 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
-from tallyhouse.queries import SQL, TABLES, statement
+from tallyhouse.queries import SQL, TABLES, engine, plain
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -37,14 +37,15 @@ def main() -> None:
     for t in TABLES:
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     out, peer, wrong = {}, {}, []
+    own = engine(spark, SF_DIR)
     for name in HEADLINE:
-        run = statement(SQL[name][0])
-        if answers(run(spark, SF_DIR).toArrow()) != answers(duck.sql(SQL[name][1]).to_arrow_table()):
+        run = lambda text=SQL[name][0]: plain(own.sql(text))
+        if answers(run().toArrow()) != answers(duck.sql(SQL[name][1]).to_arrow_table()):
             wrong.append(name)
         times = []
         for _ in range(RUNS):
             begun = time.perf_counter()
-            run(spark, SF_DIR).write.format("noop").mode("overwrite").save()
+            run().write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - begun)
         out[name] = round(statistics.median(times), 4)
         times = []

@@ -141,11 +141,6 @@ ARITY = {
 } | dict.fromkeys(MATH, (1, 1)) | dict.fromkeys(PARTS, (1, 1)) | dict.fromkeys(JSON_NAMES, (2, 2))
 
 
-def json_raw(doc: Column, key: str) -> Column:
-    """The text of a top-level member as it stands, by key; nested values are compacted."""
-    return F.get_json_object(doc, f"$['{key}']")
-
-
 class Scalars:
     """Compiles expressions over columns that resolve() finds: Col -> (Spark column, Field or kind)."""
 
@@ -427,12 +422,14 @@ class Scalars:
             raise Refused("sql_unsupported", "a literal key")
         if what == "has":
             return flag(F.coalesce(F.array_contains(F.json_object_keys(doc), key), F.lit(False)))
-        raw = json_raw(doc, key)
+        raw = F.get_json_object(doc, f"$['{key}']")
         if what == "raw":
             return Typed(raw, "text")
-        # of a string member get_json_object gives the bare text, so its quotes are looked up in the document
-        quoted = F.regexp_like(doc, F.lit(f'"{re.escape(key)}"\\s*:\\s*"'))
+        # malformed documents have no members; a member's own type decides, so quoted numbers are no numbers
+        member = F.try_variant_get(F.try_parse_json(doc), f"$['{key}']", "variant")
+        kind = F.schema_of_variant(member)
         if what == "string":
-            return Typed(F.when(quoted, raw), "text")
-        whole = r"-?[0-9]+" if what == "int" else r"-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?"
-        return Typed(F.when(~quoted & raw.rlike(f"^{whole}$"), raw.try_cast("bigint" if what == "int" else "double")), "number")
+            return Typed(F.when(kind == "STRING", raw), "text")
+        if what == "int":
+            return Typed(F.when(kind == "BIGINT", raw.try_cast("bigint")), "number")
+        return Typed(F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), raw.try_cast("double")), "number")

@@ -16,6 +16,10 @@ from tallyhouse.plans.select import ID, Source
 from tallyhouse.refusal import Refused
 
 
+#: Versions of the catalog that stay.
+KEPT = 5
+
+
 @dataclass
 class Table:
     fields: list[Field]
@@ -54,6 +58,7 @@ class Store:
         self.views: dict[str, str] = {}
         self.roles: dict[str, list[dict]] = {}
         self.current = "default"
+        self.version = 0
         if root:
             self.load()
 
@@ -62,16 +67,26 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def load(self) -> None:
-        p, fs = self._path("catalog.json")
+    def versions(self) -> list[int]:
+        """Numbers of the catalog files that are there, ascending."""
+        p, fs = self._path("catalog")
         if not fs.exists(p):
+            return []
+        names = (x.getPath().getName() for x in fs.listStatus(p))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def load(self) -> None:
+        found = self.versions()
+        if not found:
             return
+        self.version = found[-1]
+        p, _ = self._path(f"catalog/{self.version}.json")
         data = json.loads("".join(r[0] for r in self.spark.read.text(p.toString(), wholetext=True).collect()))
         self.databases = {d: {t: Table([Field.from_json(f) for f in x["fields"]], x["engine"], x["parts"], x["next_id"], x["days_from"]) for t, x in tables.items()} for d, tables in data["databases"].items()}
         self.views, self.roles = data["views"], data["roles"]
 
     def save(self) -> None:
-        """Write the catalog beside the old one and put it in its place, so that readers see one or the other."""
+        """Write the next version of the catalog and rename it into place: readers see this one or the one before, and of two writers one fails."""
         if not self.root:
             return
         data = {
@@ -79,14 +94,17 @@ class Store:
             "views": self.views,
             "roles": self.roles,
         }
-        tmp, fs = self._path(f"catalog-{uuid.uuid4().hex}")
+        tmp, fs = self._path(f"catalog/{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(data).encode()))
         out.close()
-        new, _ = self._path("catalog.json")
-        fs.delete(new, False)
-        if not fs.rename(tmp, new):
-            raise OSError(f"{new.toString()} can't be written")
+        new, _ = self._path(f"catalog/{self.version + 1}.json")
+        if fs.exists(new) or not fs.rename(tmp, new):
+            fs.delete(tmp, False)
+            raise Refused("catalog_changed", "another writer was faster; load() reads what it wrote")
+        self.version += 1
+        for old in self.versions()[:-KEPT]:
+            fs.delete(self._path(f"catalog/{old}.json")[0], False)
 
     # --- names
     def split(self, name: str) -> tuple[str, str]:

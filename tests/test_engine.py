@@ -216,3 +216,37 @@ def test_exact_quantile_by_narrowing(spark):
     for level, expected in ((Decimal("0"), 0), (Decimal("0.25"), 9_999), (Decimal("0.5"), 19_999), (Decimal("0.999"), 39_959), (Decimal("1"), 39_999)):
         assert exact_quantile(df, "v", level) == expected
     assert exact_quantile(df.where("v < 0"), "v", Decimal("0.5")) is None
+
+
+def test_json_members(spark):
+    e = Engine(spark)
+    docs = ['{"k": 69}', '{"k": "69"}', '{"a": {"k": "x"}, "k": 5}', '{"k": 1.5}', '{"k": null}', "not json", None, '{"k": {"b":1}}']
+    e.attach("j", spark.createDataFrame(list(enumerate(docs)), "id long, doc string"), "id")
+    found = rows(e.sql("SELECT JSONExtractInt(doc, 'k'), JSONExtractString(doc, 'k'), JSONExtractFloat(doc, 'k'), JSONHas(doc, 'k'), JSONExtractRaw(doc, 'k') FROM j"))
+    assert [r[0] for r in found] == [69, None, 5, None, None, None, None, None]
+    assert [r[1] for r in found] == [None, "69", None, None, None, None, None, None]
+    assert [r[2] for r in found] == [69.0, None, 5.0, 1.5, None, None, None, None]
+    assert [r[3] for r in found] == [1, 1, 1, 1, 1, 0, 0, 1]
+    assert found[7][4] == '{"b":1}'
+
+
+def test_dbapi(engine):
+    from tallyhouse import dbapi
+
+    cursor = dbapi.connect(engine).cursor()
+    cursor.execute("SELECT city, amount FROM tx WHERE amount > ?", [400])
+    assert [d[0] for d in cursor.description] == ["city", "amount"]
+    assert cursor.fetchone() == ("NYC", 900) and len(cursor.fetchmany(1)) == 1 and len(cursor.fetchall()) == 1
+    with pytest.raises(dbapi.ProgrammingError) as e:
+        cursor.execute("USE x")
+    assert e.value.code == "sql_use_unsupported"
+
+
+def test_two_writers(engine, spark):
+    other = Engine(spark, engine.store.root)
+    engine.sql("CREATE TABLE mine (a SET)")
+    with pytest.raises(Refused, match="catalog_changed"):
+        other.sql("CREATE TABLE theirs (a SET)")
+    other.store.load()
+    other.sql("DROP TABLE mine")
+    engine.store.load()
