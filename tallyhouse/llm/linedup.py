@@ -31,7 +31,8 @@ def boilerplate_hits(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG
     )
     # sketches merge by aggregation: a map-side partial sketch for each line, then one for each line hash
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
-    spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") > low)
+    # written first: then the join below reads both sides by exchanges of its own, and a line that is everywhere can be split
+    spread = kept(spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") > low))
     hits = kept(lines.join(spread, ["h1", "h2"]))
     near = hits.where(F.col("sites") < high).groupBy("h1", "h2").agg(F.countDistinct("site").alias("exact")).where(F.col("exact") >= min_sites)
     sure = hits.where(F.col("sites") >= high)
