@@ -103,7 +103,7 @@ SQL: dict[str, tuple[str, str]] = {
     "join_avg": ("SELECT round(avg(s.s_suppkey), 4) AS mean, min(c.c_custkey) AS low FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_mktsegment = 'BUILDING' AND s.s_suppkey > 3", "SELECT round(avg(s_suppkey), 4) AS mean, min(c_custkey) AS low FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_mktsegment = 'BUILDING' AND s_suppkey > 3"),
     "join_self": ("SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'MACHINERY'", "SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'MACHINERY'"),
     "join_record_id": ("SELECT o.o_orderpriority AS p, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c._record_id WHERE c.c_mktsegment = 'BUILDING' AND o.o_totalprice > 1000 GROUP BY o.o_orderpriority", "SELECT o_orderpriority AS p, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 1000 GROUP BY 1"),
-    "scalar_math": ("SELECT event_id, abs(cents - 50) AS a, round(sqrt(value), 6) AS b, floor(cents) AS c, ceil(cents) AS d, round(ln(value + 1), 6) AS e, round(pow(value, 2), 3) AS f, sign(value - 50) AS g, value / 0 AS h, event_id % 7 AS i, round(log10(value + 1), 6) AS j, round(exp(value / 100), 6) AS k FROM events", "SELECT event_id, abs(CAST(value AS DECIMAL(18,2)) - 50) AS a, round(sqrt(value), 6) AS b, CAST(floor(CAST(value AS DECIMAL(18,2))) AS DECIMAL(17,0)) AS c, CAST(ceil(CAST(value AS DECIMAL(18,2))) AS DECIMAL(17,0)) AS d, round(ln(value + 1), 6) AS e, round(value * value, 3) AS f, CAST(sign(value - 50) AS INTEGER) AS g, CAST(NULL AS DOUBLE) AS h, event_id % 7 AS i, round(log10(value + 1), 6) AS j, round(exp(value / 100), 6) AS k FROM events"),
+    "scalar_math": ("SELECT event_id, abs(cents - 50) AS a, round(sqrt(value), 6) AS b, floor(cents) AS c, ceil(cents) AS d, round(ln(value + 1), 6) AS e, round(pow(value, 2), 6) AS f, sign(value - 50) AS g, value / 0 AS h, event_id % 7 AS i, round(log10(value + 1), 6) AS j, round(exp(value / 100), 6) AS k FROM events", "SELECT event_id, abs(CAST(value AS DECIMAL(18,2)) - 50) AS a, round(sqrt(value), 6) AS b, CAST(floor(CAST(value AS DECIMAL(18,2))) AS DECIMAL(17,0)) AS c, CAST(ceil(CAST(value AS DECIMAL(18,2))) AS DECIMAL(17,0)) AS d, round(ln(value + 1), 6) AS e, round(value * value, 6) AS f, CAST(sign(value - 50) AS INTEGER) AS g, CAST(NULL AS DOUBLE) AS h, event_id % 7 AS i, round(log10(value + 1), 6) AS j, round(exp(value / 100), 6) AS k FROM events"),
     "scalar_bit": ("SELECT event_id, bitAnd(user_id, 12) AS a, bitOr(user_id, 3) AS b, bitXor(user_id, 5) AS c, bitNot(user_id) AS d, bitShiftLeft(user_id, 3) AS e, bitShiftRight(user_id, 2) AS f FROM events", "SELECT event_id, user_id & 12 AS a, user_id | 3 AS b, xor(user_id, 5) AS c, ~user_id AS d, user_id << 3 AS e, user_id >> 2 AS f FROM events"),
     "scalar_string": ("SELECT event_id, upper(event_type) AS a, length(event_type) AS b, substring(event_type, 0, 3) AS c, position(event_type, 'i') AS d, concat(event_type, '-', props) AS e, reverse(event_type) AS f, startsWith(event_type, 'c') AS g, endsWith(event_type, 'k') AS h, trim(concat('  ', event_type, ' ')) AS i FROM events", "SELECT event_id, upper(event_type) AS a, CAST(length(event_type) AS INTEGER) AS b, substring(event_type, 1, 3) AS c, CAST(instr(event_type, 'i') AS INTEGER) AS d, event_type || '-' || props AS e, reverse(event_type) AS f, CAST(starts_with(event_type, 'c') AS INTEGER) AS g, CAST(ends_with(event_type, 'k') AS INTEGER) AS h, event_type AS i FROM events"),
     "split_by_char": ("SELECT o_orderkey, splitByChar('-', o_orderpriority) AS parts FROM orders", "SELECT o_orderkey, string_split(o_orderpriority, '-') AS parts FROM orders"),
