@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,9 +95,9 @@ def insert_select(store: Store, name: str, columns: list[str], rows: DataFrame,
         if isinstance(c.dataType, (T.FloatType, T.DoubleType)):
             raise Refused("sql_insert_shape", f"{f.name} from a float")
     # the source is read before anything of the target goes
-    staged = f"{store.root}/staged/{name}-{id(rows):x}"
+    staged = f"{store.root}/staged/{uuid.uuid4().hex}"
     plain = rows.toDF(*[f"c{i}_" for i in range(len(fields))])
-    plain.write.mode("overwrite").parquet(staged)
+    plain.write.parquet(staged)
     held = store.spark.read.schema(plain.schema).parquet(staged)
     if overwrite:
         t.next_id = 1
@@ -119,6 +120,8 @@ def insert_select(store: Store, name: str, columns: list[str], rows: DataFrame,
         store.append(name, frame)
     t.next_id += n
     store.save()
+    path, fs = store._path(staged.removeprefix(f"{store.root}/"))
+    fs.delete(path, True)
     return n
 
 
