@@ -3,7 +3,7 @@
 Equal shingle sets are one class from the start, so copies are never compared. Each class has REGISTERS
 registers: of the hashes in a register's share of the hash space the least is kept, as its count of
 leading zeros and the mantissa bits after the first one. Classes that agree in all registers of a band
-are candidates. They are compared with their band's least member first, by the estimate and then on the
+are candidates. They are compared with their band's central member first, by the estimate and then on the
 full sets; what then still lies in different components of a band is compared in blocks of bounded size.
 """
 
@@ -27,8 +27,8 @@ _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 BUCKET_BITS, MANTISSA = 7, 10
 REGISTERS, ROWS_PER_BAND = 1 << BUCKET_BITS, 4
 BANDS = REGISTERS // ROWS_PER_BAND
-#: Classes of a band that one task compares with as many others.
-BLOCK = 256
+#: Classes of a band, and shingles of theirs, that one task compares with as many others at most.
+BLOCK, BLOCK_SHINGLES = 1024, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,16 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 _BORROW = np.argsort(mixed(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=1)
 
 
-def band_keys(regs: np.ndarray) -> list[int]:
-    """A 64-bit key for each band: its registers, of which empty ones take the value of the first in use in their order, tied to the band's number."""
+def band_words(regs: np.ndarray) -> np.ndarray:
+    """The four registers of each band as a word; empty ones take the value of the first in use in their order."""
     lender = _BORROW[np.arange(REGISTERS), (regs[_BORROW] != 0).argmax(1)]
-    joined = np.where(regs != 0, regs, regs[lender]).astype("<u2").view("<u8")
+    return np.where(regs != 0, regs, regs[lender]).astype("<u2").view("<u8")
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band: its word, tied to the band's number."""
     with np.errstate(over="ignore"):
-        return mixed(joined + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64).tolist()
+        return mixed(band_words(regs) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,60 +151,90 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= rule.percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different components that share a band and whose estimate doesn't rule out a link; members: key, digest, root, regs, n.
+def block_links(members: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between different components that share a band, enough of them to join what is linked; members: key, band, digest, root, regs, n, hashes.
 
-    A band's classes are dealt into blocks by hash; each two blocks meet in one task, so neither a task nor
-    a row grows with the band.
+    In each band the largest component's classes need no comparing with each other. If the band is too
+    large for one task, these and the others are dealt into blocks by hash: each two blocks of others, and
+    each block of others with each of the largest component, meet in one task, so no task grows with the
+    band. A pair is looked at in the first band that it shares, and its full sets are compared there; a
+    task gives fewer links than it has classes.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = members.join(sizes, "key").withColumn("mine", F.expr("cast(pmod(xxhash64(digest), blocks) as int)"))
-    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    roots = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    sizes = roots.groupBy("key").agg(F.max(F.struct("c", "s", "root")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = sizes.select("key", F.col("most.root").alias("main"), blocks(F.col("c"), F.col("s")).alias("all_"), blocks(F.col("most.c"), F.col("most.s")).alias("mains"), blocks(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("rest"))
+    own = members.join(sizes, "key").withColumn("lead", F.col("root") == F.col("main")).withColumn("mine", F.expr("cast(pmod(xxhash64(digest), if(lead, mains, rest)) as int)"))
+    meetings = F.expr(
+        "CASE WHEN all_ = 1 THEN array(struct('all' AS kind, 0 AS i, 0 AS j)) WHEN lead THEN transform(sequence(0, rest - 1), x -> struct('main' AS kind, x AS i, mine AS j)) "
+        "ELSE concat(transform(sequence(0, rest - 1), x -> struct('rest' AS kind, least(x, mine) AS i, greatest(x, mine) AS j)), transform(sequence(0, mains - 1), x -> struct('main' AS kind, mine AS i, x AS j))) END"
+    )
+    dealt = own.withColumn("t", F.explode(meetings)).select("key", "t.kind", "t.i", "t.j", "band", "digest", "root", "lead", "regs", "n", "hashes")
 
     def compare(table: pa.Table) -> pa.Table:
         regs, n = _regs(table.column("regs")), table.column("n").to_numpy()
-        root, digest = np.array(table.column("root").to_pylist(), object), table.column("digest").to_pylist()
-        _, group = np.unique(np.array([bytes(x).hex() for x in root]), return_inverse=True)
+        band, digest, hashes = table.column("band")[0].as_py(), table.column("digest").to_pylist(), table.column("hashes").combine_chunks()
+        lead, across = np.array(table.column("lead").to_pylist()), table.column("kind")[0].as_py() == "main"
+        words = np.stack([band_words(r) for r in regs])
+        parent: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        roots = table.column("root").to_pylist()
+        number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+        group = np.array([number[r] for r in roots])
+        sets: dict[int, np.ndarray] = {}
+        of = lambda i: sets[i] if i in sets else sets.setdefault(i, hashes[i].values.to_numpy())
         out = []
         for i in range(len(n) - 1):
             rest = slice(i + 1, None)
-            near = (group[rest] != group[i]) & rule.may_link(*estimate(regs[i][None], regs[rest], n[i : i + 1], n[rest]))
-            out += [tuple(sorted((digest[i], digest[i + 1 + j]))) for j in np.flatnonzero(near)]
+            apart = group[rest] != group[i]
+            if across:  # others meet each other elsewhere
+                apart &= lead[rest] != lead[i]
+            if not apart.any():
+                continue
+            near = apart & rule.may_link(*estimate(regs[i][None], regs[rest], n[i : i + 1], n[rest]))
+            for j in np.flatnonzero(near) + i + 1:
+                if top(roots[i]) == top(roots[j]) or int((words[i] == words[j]).argmax()) != band:
+                    continue
+                both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                if 100 * both >= rule.percent * (n[i] + n[j] - both):
+                    parent[top(roots[i])] = top(roots[j])
+                    out.append((digest[i], digest[j]))
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    return dealt.select("key", "lo", "hi", "digest", "root", "regs", "n").groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary").distinct()
+    return dealt.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def links_between_classes(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """node and root of every class (digest, n, regs, doc_id) that is linked with another."""
+    """node and root of every class (digest, n, regs, key of a row) that is linked with another."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keys = [band_keys(r) for r in _regs(x.column(1))] if x.num_rows else []
-            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array([k for own in keys for k in own], pa.int64()), x.column(0).take(pa.array(at, pa.int64()))], names=["key", "digest"])
-
-    bands = classes.select("digest", "regs").mapInArrow(spread, "key long, digest binary")
-    first = bands.groupBy("key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = kept(bands.join(first, "key").select("key", "digest", "a", "n"))
-    star = shared.where("digest != a").select("a", F.col("digest").alias("b")).distinct()
+            keys = np.concatenate([band_keys(r) for r in _regs(x.column(1))]) if x.num_rows else np.zeros(0, np.int64)
+            at, band = np.repeat(np.arange(x.num_rows), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), x.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), x.column(0).take(pa.array(at))], names=["key", "band", "digest"])
+
+    bands = classes.select("digest", "regs").mapInArrow(spread, "key long, band int, digest binary")
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = kept(bands.join(sizes, "key"))
+    # of a family of copies the original shares most bands with the others, so it is what each band's members are compared with first
+    weight = shared.groupBy("digest").agg(F.sum("size").alias("weight"))
+    centre = shared.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest"))["digest"].alias("a"))
+    star = shared.select("key", F.col("digest").alias("b")).join(centre, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     close = kept(estimated(star, classes, rule))
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Sets of the pairs' classes, from the text of one row of each."""
-        wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(classes.select("digest", "doc_id", "key"), "digest").select("key")
-        return kept(shingle_sets(docs.withColumn("key", row_key()).join(wanted, "key", "left_semi"), rule).dropDuplicates(["digest"]))
-
-    linked = kept(verified(close, sets_of(close), rule))
+    wanted = shared.select("digest").distinct().join(classes.select("digest", "key"), "digest").select("key")
+    sets = kept(shingle_sets(docs.withColumn("key", row_key()).join(wanted, "key", "left_semi"), rule).dropDuplicates(["digest"]))
+    linked = kept(verified(close, sets, rule))
     found = components(linked)
     # bands of three or more classes that are not one component yet
-    rooted = shared.where("n > 2").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
+    rooted = shared.where("size > 2").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", F.coalesce("root", "digest").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rest = block_pairs(rooted.join(open_, "key", "left_semi").join(classes.select("digest", "regs", "n"), "digest"), rule)
-    rest = kept(rest.join(close, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return found
-    return components(linked.unionByName(verified(rest, sets_of(rest), rule)))
+    rest = kept(block_links(rooted.join(open_, "key", "left_semi").join(classes.select("digest", "regs", "n"), "digest").join(sets, "digest"), rule))
+    return found if rest.isEmpty() else components(linked.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
