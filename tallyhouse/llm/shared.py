@@ -74,10 +74,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder as Parquet and read back, which cuts lineage and survives lost executors."""
+    """df written once to the shared folder as Parquet and read back, which cuts lineage and survives lost executors. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
     return spark.read.schema(df.schema).parquet(path)
 
 
