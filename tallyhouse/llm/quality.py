@@ -21,8 +21,11 @@ SYMBOLS = b"#*$%&|<>"
 
 #: Hash bits of each of the four families: words, word pairs, three and five bytes.
 BITS, FAMILIES = 14, 4
+#: Rows that a gradient is summed over at a time, which bounds what it takes beside the features.
+CHUNK = 256
+
 #: Labelled documents of each class that are fitted at most, and the probability from which a document is good.
-SAMPLE_PER_CLASS, KEEP_AT = 1500, 0.5
+SAMPLE_PER_CLASS, KEEP_AT = 1000, 0.2
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -74,24 +77,38 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate:
     for c in (0, 1):
         held[np.flatnonzero(y == c)[4::5]] = True
     sizes = np.array([len(r[0]) for r in rows])
-    at, value, row = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows)), sizes)
     width = FAMILIES << BITS
+    square = np.zeros(width)
+    for at, value, _ in rows:
+        square[at] += np.square(value, dtype=np.float64)
     # rare hashes get values as large as frequent ones: each is divided by the root of its mean square
-    scale = np.sqrt(np.bincount(at, value**2, width) / len(rows)) + 1e-3 / np.sqrt(len(rows))
-    value = value / scale[at] / np.sqrt(sizes.mean())
+    scale = (np.sqrt(square / len(rows)) + 1e-3 / np.sqrt(len(rows))) * np.sqrt(sizes.mean())
     share = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
+    parts = []
+    for lo in range(0, len(rows), CHUNK):
+        own = rows[lo : lo + CHUNK]
+        at = np.concatenate([r[0] for r in own])
+        parts.append((lo, at, (np.concatenate([r[1] for r in own]) / scale[at]).astype(np.float32), np.repeat(np.arange(len(own)), sizes[lo : lo + CHUNK]).astype(np.int32), len(own)))
     w, b, gw, gb = np.zeros(width), 0.0, np.full(width, 1e-8), 1e-8
+    z = np.zeros(len(rows))
+
+    def score() -> None:
+        for lo, at, value, row, n in parts:
+            z[lo : lo + n] = np.bincount(row, value * w[at], n) + b
+
     for _ in range(steps):
-        z = np.bincount(row, value * w[at], len(rows)) + b
+        score()
         pull = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        dw, db = np.bincount(at, value * pull[row], width) + decay * w / width, pull.sum()
+        dw, db = decay * w / width, pull.sum()
+        for lo, at, value, row, n in parts:
+            dw += np.bincount(at, value * pull[lo : lo + n][row], width)
         gw += dw**2
         gb += db**2
         w -= rate * dw / np.sqrt(gw)
         b -= rate * db / np.sqrt(gb)
-    z = np.bincount(row, value * w[at], len(rows)) + b
+    score()
     slope, offset = platt(z[held], y[held]) if held.any() and 0 < y[held].mean() < 1 else (1.0, 0.0)
-    return Model((w / scale / np.sqrt(sizes.mean())).astype(np.float64), float(b), slope, offset)
+    return Model(w / scale, float(b), slope, offset)
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -128,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     # at most 2 * per_class rows of two numbers
     texts = docs.selectExpr("cast(doc_id as bigint) as id", "text").join(F.broadcast(picked), "id").select("id", "text", "y")
     found = map_slices(texts, work, "id long, at array<int>, value array<float>, y int").toArrow().sort_by("id")
-    return fit([(np.asarray(a), np.asarray(v, np.float64), int(y)) for a, v, y in zip((x.values.to_numpy() for x in found.column("at").combine_chunks()), (x.values.to_numpy() for x in found.column("value").combine_chunks()), found.column("y").to_pylist(), strict=True)])
+    at, value = found.column("at").combine_chunks(), found.column("value").combine_chunks()
+    return fit([(a.values.to_numpy(), v.values.to_numpy(), y) for a, v, y in zip(at, value, found.column("y").to_pylist(), strict=True)])
 
 
 def measure(text: bytes, model: Model | None) -> tuple[int, int, int, int, int, float]:
