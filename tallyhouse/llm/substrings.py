@@ -143,7 +143,8 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
 def covered(texts: DataFrame, size: int = SIZE, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """key and spans (array of s, e; not merged) of the rows (key, text) of which bytes repeat."""
     found = anchors(texts, size)
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1")
+    # written first: then the join below reads both sides by exchanges of its own, and an anchor that is everywhere can be split
+    twice = kept(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1"))
     members = kept(found.join(twice, "h").select("key", "h", "c", "pos", "lo", "hi", (F.col("x") != F.col("y")).alias("mixed")))
     alike = members.where("not mixed").select("key", F.col("lo").alias("s"), (F.col("hi") + size).alias("e"))
     own = members.where("mixed")
