@@ -4,7 +4,9 @@ The square of a Euclidean distance is |q|^2 - 2 q.x + |x|^2, so the nearest are
 products once |x|^2, which is kept exactly, is taken off. Vectors are quantised in blocks of two
 dimensions by 16 centroids each; the loss weighs the part of the residual that is parallel to the vector
 more than the rest, since that part changes the products that matter. Two codes make a byte; a query's
-scores against all codes are sums of table entries. The best by that score are ranked again exactly.
+scores against all codes are sums of table entries. Centred at c, a score is off by at most |q - c| times the
+norm of the vector's residual, which is kept: the best by score are ranked exactly first, then all others
+that this bound does not put behind the k-th of them, so the result is exact.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from tallyhouse.llm.shared import kept
 CENTROIDS = 16
 #: Vectors that the codebooks are fitted on at most, queries that one pass over the vectors answers, and vectors scanned at a time.
 SAMPLE, QUERIES_AT_ONCE, VECTORS_AT_ONCE = 8192, 2048, 4096
-#: Candidates of a task that are ranked exactly for each query, and the share of the largest products that the loss is tuned to.
+#: Candidates by score that are ranked exactly first, from which on the bound rules out others, and the share of the largest products that the loss is tuned to.
 RERANK, THRESHOLD = 200, 0.2
 
 
@@ -115,28 +117,51 @@ def tables(queries: np.ndarray, books: Codebooks) -> np.ndarray:
     return (each[:, 1::2, :, None] + each[:, ::2, None, :]).reshape(len(each), -1, 256).astype(np.float32)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query number, row, distance) of the k nearest of the rows for each query; rows come by id, so that equal scores keep the smaller ids."""
+def residual(x: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray:
+    """Norms of what the codes leave of the centred vectors x."""
+    made = books.centroids[np.arange(books.centroids.shape[0]), codes].reshape(len(x), -1)[:, : books.dims]
+    return np.linalg.norm(x - made, axis=1)
+
+
+def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, books: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query number, row, distance) of those of the k nearest rows for each query that lie within its reach.
+
+    left: the norms of the residuals. reach: for each query a distance within which k vectors are known to
+    lie; it is brought down to that of the k-th row here.
+    """
     half = ((x - books.centre) ** 2).sum(1).astype(np.float32) / 2
     if not len(x):
         return
+    tiny = np.finfo(np.float32)
     for lo in range(0, len(queries), 64):
         own = queries[lo : lo + 64]
         table = tables(own - books.centre, books)
+        norm = np.linalg.norm(own - books.centre, axis=1)
+        # what the sums of single precision can be off by
+        most = np.abs(table).max(2).sum(1, dtype=np.float64)
+        terms = 2.0 * (codes.shape[1] + 2)
         score = np.repeat(half[None], len(own), 0)
         for byte in range(codes.shape[1]):
             score -= table[:, byte][:, codes[:, byte]]
         for i in range(len(own)):
-            s = score[i]
-            if len(s) > rerank:
-                edge = np.partition(s, rerank - 1)[rerank - 1]
-                under, even = np.flatnonzero(s < edge), np.flatnonzero(s == edge)
-                rows = np.sort(np.concatenate([under, even[: rerank - len(under)]]))
-            else:
-                rows = np.arange(len(s))
-            rows = rows[ids[rows] != query_ids[lo + i]]
+            s, other = score[i], ids != query_ids[lo + i]
+            ahead = np.argpartition(s, rerank - 1)[:rerank] if len(s) > rerank else np.arange(len(s))
+            rows = ahead[other[ahead]]
             d = np.sqrt(((x[rows] - own[i]) ** 2).sum(1))
+            if len(d) >= k:
+                reach[lo + i] = min(reach[lo + i], np.partition(d, k - 1)[k - 1])
+            if len(s) > rerank:
+                edge = reach[lo + i] ** 2 / 2 - norm[i] ** 2 / 2 + 2.0**-40 * (reach[lo + i] ** 2 + norm[i] ** 2)
+                slack = terms * (tiny.eps * (half + most[i]) + tiny.tiny)
+                # a score that overflows rules out nothing
+                near = other & ~(s - norm[i] * left - slack > edge)
+                near[ahead] = False
+                more = np.flatnonzero(near)
+                rows, d = np.concatenate([rows, more]), np.concatenate([d, np.sqrt(((x[more] - own[i]) ** 2).sum(1))])
             best = np.lexsort((ids[rows], d))[:k]
+            best = best[d[best] <= reach[lo + i]]
+            if len(best) == k:
+                reach[lo + i] = min(reach[lo + i], d[best[-1]])
             yield np.full(len(best), lo + i), rows[best], d[best]
 
 
@@ -165,7 +190,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str =
 
     The codebooks are fitted on the sample vectors whose ids hash lowest. All vectors are coded. Queries
     are taken in blocks of about at_once, the only thing that is sent to the tasks besides the codebooks;
-    each block is scanned against all vectors, and a task passes on its k exact nearest only.
+    each block is scanned against all vectors, and a task passes on its k exact nearest only. The k nearest
+    are exact, whatever rerank is: it is the number that is ranked before the error bound rules out others.
     """
     spark = vectors.sparkSession
     valid = usable(vectors, id_column, vector_column)
@@ -184,10 +210,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str =
         for batch in batches:
             for at in range(0, batch.num_rows, VECTORS_AT_ONCE):
                 part = batch.slice(at, VECTORS_AT_ONCE)
-                codes = packed(assign(matrix(part.column(1), dims) - sent.value.centre, sent.value, extra))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in codes], pa.binary())], names=["id", "v", "codes"])
+                x = matrix(part.column(1), dims) - sent.value.centre
+                codes = assign(x, sent.value, extra)
+                left = residual(x, codes, sent.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in packed(codes)], pa.binary()), pa.array(left)], names=["id", "v", "codes", "residual"])
 
-    index = kept(valid.mapInArrow(encode, "id long, v array<double>, codes binary"))
+    index = kept(valid.mapInArrow(encode, "id long, v array<double>, codes binary, residual double"))
     queries = kept(index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
     count = queries.count()
     blocks = max(1, -(-count // at_once))
@@ -200,13 +228,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str =
 
         def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             query_ids, of = asked.value
+            reach = np.full(len(of), np.inf)
             best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query number, id, distance
             for batch in batches:
                 for at in range(0, batch.num_rows, VECTORS_AT_ONCE):
                     part = batch.slice(at, VECTORS_AT_ONCE).sort_by("id")
                     ids, x = part.column(0).to_numpy(), matrix(part.column(1), dims)
                     codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-                    best += [(q, ids[rows], d) for q, rows, d in scan(ids, x, codes, sent.value, query_ids, of, k, rerank)]
+                    best += [(q, ids[rows], d) for q, rows, d in scan(ids, x, codes, part.column(3).to_numpy(), sent.value, query_ids, of, k, rerank, reach)]
                 if len(best) > 8 * len(of):
                     best = [shortened(best, k)]
             if best:

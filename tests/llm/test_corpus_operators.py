@@ -349,6 +349,18 @@ def test_recall_and_order(spark):
         assert [a for a, *_ in v] == list(range(1, 11)) and [x[1:] for x in v] == sorted(x[1:] for x in v)
 
 
+def test_exact_in_a_hot_cluster(spark):
+    """A third of each full chunk of 4,096 vectors is one tight cluster of different vectors, which share codes."""
+    r = np.random.default_rng(47)
+    x = r.normal(size=(8192, 24))
+    hot = r.permutation(8192)[:2731]
+    x[hot] = r.normal(size=24) + r.normal(size=(len(hot), 24)) * 0.02
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1), k=10, every=400).collect()
+    assert {(f.query_id, f["rank"], f.vec_id, round(f.score, 9)) for f in found} == nearest_by_hand(rows, 10, 400)
+    assert sum(i % 400 == 0 for i in hot) >= 3
+
+
 def test_vector_edges(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(0, same), (1, same), (2, same), (3, [1.0, 2.0, 4.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 1.0]), (7, [None, 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (None, same), (9, [-5.0, 0.0, 1.0]), (100, [9.0, 9.0, 9.0])]
