@@ -26,7 +26,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
 #: Words that stand before a value: of the base pattern and others.
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "bearer", "credential")
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access_key|private_key|auth(?:orization)?|bearer|credentials?)["']?(?:\x20*(?:[:=]|=>|\bis\b)|\x20)\x20*["']?([!#-&(-;=?-~]{6,})""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access_key|private_key|auth(?:orization)?|bearer|credentials?)["']?(?:\x20*([:=]|=>|\bis\b)|\x20)\x20*["']?([!#-&(-;=?-~]{6,})""", re.IGNORECASE | re.ASCII)
 
 #: From this log10 of guesses on, a value in a context of assignment is a secret.
 MIN_GUESSES = 9.0
@@ -143,10 +143,10 @@ def guess_spans(text: str, least: float = MIN_GUESSES) -> list[tuple[int, int, i
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        value = m.group(1).rstrip(".,;:!?)&#%$*")
-        cost = guesses(value) if len(value) >= ASSIGN_CHARS and any(c.isdigit() for c in value) else 0.0
+        value = m.group(2).rstrip(".,;:!?)&#%$*")
+        cost = guesses(value) if len(value) >= ASSIGN_CHARS and (m.group(1) or any(c.isdigit() for c in value)) else 0.0
         if cost >= least:
-            out.append((m.start(1), 3, m.start(1) + len(value), cost))
+            out.append((m.start(2), 3, m.start(2) + len(value), cost))
     return out
 
 

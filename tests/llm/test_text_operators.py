@@ -87,6 +87,14 @@ def test_segmentation_is_least():
         assert secrets.segment(v, words)[0] <= best_by_hand(v, words) + 1e-9
 
 
+def test_values_without_digits():
+    found = lambda t: [t[s:e] for s, _, e, _ in secrets.guess_spans(t)]
+    assert found("pwd: kXvqZwRtYplMnBhs") == found("pwd=kXvqZwRtYplMnBhs ok") == found('"auth" => "kXvqZwRtYplMnBhs"') == ["kXvqZwRtYplMnBhs"]
+    assert found("passphrase: Tk!vQz#RmPw&LsXd") == ["Tk!vQz#RmPw&LsXd"]
+    assert found("bearer kXvqZwRtYplMnBhs") == [] and found("pwd: password") == []
+    assert secrets.masked("pwd: kXvqZwRtYplMnBhs ok") == "pwd: [SECRET] ok"
+
+
 def test_masking():
     assert secrets.masked('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ok') == 'token = "[SECRET]" ok'
     assert secrets.masked("nothing here") == "nothing here"
