@@ -25,7 +25,7 @@ BITS, FAMILIES = 14, 4
 CHUNK = 256
 
 #: Labelled documents of each class that are fitted at most, and the probability from which a document is good.
-SAMPLE_PER_CLASS, KEEP_AT = 1000, 0.2
+SAMPLE_PER_CLASS, KEEP_AT = 1000, 0.5
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True

@@ -150,6 +150,14 @@ def test_classifier_on_held_out_rows(spark):
     assert abs(p.mean() - 2 / 3) < 0.2
 
 
+@pytest.mark.parametrize(("p", "kept"), [(0.3, False), (0.45, False), (0.55, True)])
+def test_more_likely_bad_than_good_goes(spark, monkeypatch, p, kept):
+    model = quality.Model(np.zeros(quality.FAMILIES << quality.BITS), 0.0, 1.0, float(np.log(p / (1 - p))))
+    monkeypatch.setattr(quality, "train", lambda *_: model)
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(80)))], "doc_id long, text string")
+    assert [r.kept for r in quality.score_quality(docs, docs).collect()] == [r.kept for r in quality.judged(docs, docs).collect()] == [kept]
+
+
 def test_labelled_rows_of_the_test_tables(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
