@@ -69,7 +69,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model | None:
-    """Logistic regression by full-batch Adagrad on four fifths of the rows, with classes weighted alike; Platt's calibration on the rest. None if a class is missing."""
+    """Logistic regression by full-batch Adagrad on four fifths of the rows, with classes weighted alike; Platt's calibration on the rest, weighted so too. None if a class is missing."""
     y = np.array([r[2] for r in rows], np.float64)
     if not len(rows) or y.min() == y.max():
         return None
@@ -112,15 +112,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate:
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a probability for held-out scores, by Newton's method on smoothed targets."""
+    """Slope and offset of a probability for held-out scores, by Newton's method on smoothed targets; the classes weigh alike, whatever their shares of the rows."""
     good, bad = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+    weight = np.where(y == 1, len(y) / 2 / good, len(y) / 2 / bad)
     spread = max(1e-9, np.abs(z).max())
     x = np.stack([z / spread, np.ones_like(z)], 1)
     p = np.zeros(2)
     for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (q - t))
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (q - t)))
         p -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break

@@ -158,6 +158,16 @@ def test_more_likely_bad_than_good_goes(spark, monkeypatch, p, kept):
     assert [r.kept for r in quality.score_quality(docs, docs).collect()] == [r.kept for r in quality.judged(docs, docs).collect()] == [kept]
 
 
+def test_calibration_does_not_depend_on_the_mix_of_classes():
+    r = np.random.default_rng(53)
+    good, bad = r.normal(1.5, 1, 1200), r.normal(-1.5, 1, 1200)
+    made = []
+    for n_good, n_bad in ((1200, 1200), (1200, 200), (200, 1200)):
+        z, y = np.concatenate([good[:n_good], bad[:n_bad]]), np.repeat([1.0, 0.0], [n_good, n_bad])
+        made.append(quality.Model(np.zeros(1), 0.0, *quality.platt(z, y)).probability(np.array([-1.0, 0.0, 1.0])))
+    assert np.abs(np.array(made) - made[0]).max() < 0.08 and abs(made[0][1] - 0.5) < 0.08
+
+
 def test_labelled_rows_of_the_test_tables(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
