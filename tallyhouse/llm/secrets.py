@@ -141,12 +141,19 @@ def guess_spans(text: str, least: float = MIN_GUESSES) -> list[tuple[int, int, i
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    out = []
-    for m in CONTEXT.finditer(text):
+    out, at, taken = [], 0, 0
+    # the search goes on at the value's start: a credential word there opens a context of its own
+    while m := CONTEXT.search(text, at):
+        at = m.start(2)
         value = m.group(2).rstrip(".,;:!?)&#%$*")
+        end = at + len(value)
+        inner = CONTEXT.match(text, at)
+        if end <= taken or inner and inner.start(2) >= end:  # inside a secret, or only the word before the next value
+            continue
         cost = guesses(value) if len(value) >= ASSIGN_CHARS and (m.group(1) or any(c.isdigit() for c in value)) else 0.0
         if cost >= least:
-            out.append((m.start(2), 3, m.start(2) + len(value), cost))
+            out.append((at, 3, end, cost))
+            taken, at = end, max(at, m.end(2) - 16)  # only a word that ends the value can lead to another behind it
     return out
 
 

@@ -95,6 +95,17 @@ def test_values_without_digits():
     assert secrets.masked("pwd: kXvqZwRtYplMnBhs ok") == "pwd: [SECRET] ok"
 
 
+def test_credential_words_that_follow_each_other():
+    found = lambda t: [t[s:e] for s, _, e, _ in secrets.guess_spans(t)]
+    assert found("auth token: p@ss9word!XyZ7") == ["p@ss9word!XyZ7"]
+    assert found("Bearer token: x!7Fq#9Lm2z.") == found("auth bearer token x!7Fq#9Lm2z") == ["x!7Fq#9Lm2z"]
+    assert found("secret password: hT7!kq#Z9vLm2") == found("auth: passphrase: hT7!kq#Z9vLm2") == ["hT7!kq#Z9vLm2"]
+    assert found("secret=token=hT7!kq#Z9vLm2 pwd: x!7Fq#9Lm2z") == ["token=hT7!kq#Z9vLm2", "x!7Fq#9Lm2z"]
+    assert secrets.masked("auth token: p@ss9word!XyZ7 ok") == "auth token: [SECRET] ok"
+    # a rejected value with a secret behind a credential word in it
+    assert found("token=pwd=") == [] and found("secret: token pwd: x!7Fq#9Lm2z") == ["x!7Fq#9Lm2z"]
+
+
 def test_masking():
     assert secrets.masked('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ok') == 'token = "[SECRET]" ok'
     assert secrets.masked("nothing here") == "nothing here"
