@@ -30,8 +30,8 @@ CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]
 
 #: From this log10 of guesses on, a value in a context of assignment is a secret.
 MIN_GUESSES = 9.0
-#: Longer values are segmented in successive pieces of so many characters.
-PIECE = 256
+#: A repeat's unit has at most so many characters.
+UNIT = 8
 
 # Frequent words of passwords and placeholders, most frequent first.
 WORDS = (
@@ -60,7 +60,6 @@ def _steps() -> frozenset[str]:
 
 _NEXT = _steps()
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
-_REPEAT = re.compile(r"(.{1,8}?)\1{1,}", re.DOTALL)
 
 
 def _single(c: str) -> float:
@@ -68,61 +67,103 @@ def _single(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33) if c.isascii() else 4.0
 
 
-def segment(value: str, words: dict[str, float] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
-    """log10 of the guesses that a value costs at least, and the segments (kind, start, end) of that way; kinds: word, date, repeat, walk, brute."""
-    if len(value) > PIECE:
-        total, found = 0.0, []
-        for at in range(0, len(value), PIECE):
-            cost, part = segment(value[at : at + PIECE], words)
-            total += cost
-            found += [(k, at + s, at + e) for k, s, e in part]
-        return total, found
+class _Ends:
+    """Ends of spans that start further left, of which a span from i costs log10((end - i) / unit) besides the end's own cost; those that another beats from now on are dropped."""
+
+    def __init__(self, unit: int, least: int):
+        self.unit, self.least, self.found = unit, least, []  # (end, cost), by falling end; costs rise
+
+    def add(self, end: int, cost: float) -> None:
+        found = self.found
+        while found and found[-1][1] >= cost:
+            found.pop()
+        if not any(c + math.log10((e - end) / self.unit + self.least) <= cost for e, c in found):
+            found.append((end, cost))
+
+    def best(self, i: int) -> tuple[float, int]:
+        return min(((c + math.log10((e - i) / self.unit), e) for e, c in self.found), default=(math.inf, 0))
+
+
+def suffixes(value: str, words: dict[str, float] | None = None) -> tuple[list[float], list[tuple[str, int]]]:
+    """For each position, log10 of the guesses that the value costs at least from there on, and the kind and end of the first segment."""
     ranks = _RANK if words is None else words
+    longest = _LONGEST if words is None else max(map(len, words), default=0)
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
     plain = low.translate(_LEET)
-    best: list[float] = [0.0] + [math.inf] * n
-    back: list[tuple[str, int]] = [("", 0)] * (n + 1)
+    best: list[float] = [math.inf] * n + [0.0]
+    step: list[tuple[str, int]] = [("", 0)] * (n + 1)
 
     def offer(kind: str, i: int, j: int, cost: float) -> None:
-        if best[i] + cost < best[j]:
-            best[j], back[j] = best[i] + cost, (kind, i)
-
-    for i in range(n):
-        offer("brute", i, i + 1, _single(value[i]))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        if cost < best[i]:
+            best[i], step[i] = cost, (kind, j)
+
+    # for each length of a unit: how many characters from i on equal those a unit later, the unit's cost, and ends by remainder
+    equal, unit_cost, repeats = [0] * (UNIT + 1), [0.0] * (UNIT + 1), [[] for _ in range(UNIT + 1)]
+    walk, same_case, walks, plain_walks = 0, 0, _Ends(1, 3), _Ends(1, 3)  # keys of the walk from i on, and those up to one in another case
+    for i in range(n - 1, -1, -1):
+        offer("brute", i, i + 1, best[i + 1] + _single(value[i]))
+        for j in range(i + 3, min(n, i + longest) + 1):
             if (rank := ranks.get(plain[i:j])) is not None:
                 changed = (value[i:j] != low[i:j]) + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
-                offer("word", i, j, 1.0 + rank + changed * math.log10(2))
+                offer("word", i, j, best[j] + 1.0 + rank + changed * math.log10(2))
         if m := _DATE.match(value, i):
             years = 2.1  # log10 of about 120 years
-            offer("date", i, m.end(), years + (math.log10(365) + 0.6 if m.end() - i > 4 else 0))
+            offer("date", i, m.end(), best[m.end()] + years + (math.log10(365) + 0.6 if m.end() - i > 4 else 0))
             if m.end() - i > 4 and value[i : i + 2] in ("19", "20"):
-                offer("date", i, i + 4, years)
-        if m := _REPEAT.match(value, i):
-            unit, times = m.group(1), (m.end() - i) // len(m.group(1))
-            if m.end() - i >= 3:
-                offer("repeat", i, m.end(), sum(map(_single, unit)) + math.log10(times))
-        j = i + 1
-        while j < n and low[j - 1] + low[j] in _NEXT:
-            j += 1
-            if j - i >= 3:
-                offer("walk", i, j, math.log10(47) + math.log10(j - i) + (value[i:j] != low[i:j]) * math.log10(2))
-    found, j = [], n
-    while j:
-        kind, i = back[j]
+                offer("date", i, i + 4, best[i + 4] + years)
+        if not (walk and low[i] + low[i + 1] in _NEXT):
+            walk, same_case, walks, plain_walks = 0, 0, _Ends(1, 3), _Ends(1, 3)
+        walk += 1
+        for u in range(1, min(UNIT, n - 1 - i) + 1):
+            if value[i] != value[i + u]:
+                equal[u] = 0
+                continue
+            equal[u] += 1
+            least = 3 if u == 1 else 2
+            if equal[u] < (least - 1) * u:
+                continue
+            if equal[u] == (least - 1) * u:
+                unit_cost[u], repeats[u] = sum(map(_single, value[i : i + u])), [_Ends(u, least) for _ in range(u)]
+                if any(u % d == 0 and equal[d] >= u - d for d in range(1, u)):  # the shorter unit is cheaper for the same spans
+                    repeats[u] = []
+            if not repeats[u]:
+                continue
+            ends, j = repeats[u][i % u], i + least * u
+            if not (step[j][0] == "walk" and walk > least * u):  # else the walk from i on is cheaper
+                ends.add(j, best[j])
+            cost, j = ends.best(i)
+            offer("repeat", i, j, cost + unit_cost[u])
+        if value[i] == low[i]:
+            same_case += 1
+        else:
+            same_case, plain_walks = 0, _Ends(1, 3)
+        for keys, ends, more in ((walk, walks, math.log10(2)), (same_case, plain_walks, 0.0)):
+            if keys >= 3:
+                ends.add(i + 3, best[i + 3])
+                cost, j = ends.best(i)
+                offer("walk", i, j, cost + math.log10(47) + more)
+    return best, step
+
+
+def segment(value: str, words: dict[str, float] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+    """log10 of the guesses that a value costs at least, and the segments (kind, start, end) of that way; kinds: word, date, repeat, walk, brute."""
+    best, step = suffixes(value, words)
+    found, i = [], 0
+    while i < len(value):
+        kind, j = step[i]
         if found and kind == "brute" and found[-1][0] == "brute":
-            found[-1] = ("brute", i, found[-1][2])
+            found[-1] = ("brute", found[-1][1], j)
         else:
             found.append((kind, i, j))
-        j = i
-    return best[n], found[::-1]
+        i = j
+    return best[0], found
 
 
-@lru_cache(maxsize=1 << 14)
-def guesses(value: str) -> float:
-    return segment(value)[0]
+@lru_cache(maxsize=1 << 10)
+def _guesses(value: str) -> list[float]:
+    return suffixes(value)[0]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -141,7 +182,7 @@ def guess_spans(text: str, least: float = MIN_GUESSES) -> list[tuple[int, int, i
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    out, at, taken = [], 0, 0
+    out, at, taken, known = [], 0, 0, (0, 0, [0.0])
     # the search goes on at the value's start: a credential word there opens a context of its own
     while m := CONTEXT.search(text, at):
         at = m.start(2)
@@ -150,7 +191,11 @@ def guess_spans(text: str, least: float = MIN_GUESSES) -> list[tuple[int, int, i
         inner = CONTEXT.match(text, at)
         if end <= taken or inner and inner.start(2) >= end:  # inside a secret, or only the word before the next value
             continue
-        cost = guesses(value) if len(value) >= ASSIGN_CHARS and (m.group(1) or any(c.isdigit() for c in value)) else 0.0
+        cost = 0.0
+        if len(value) >= ASSIGN_CHARS and (m.group(1) or any(c.isdigit() for c in value)):
+            if end != known[1]:  # else the rest of a value whose every rest is known
+                known = (at, end, _guesses(value))
+            cost = known[2][at - known[0]]
         if cost >= least:
             out.append((at, 3, end, cost))
             taken, at = end, max(at, m.end(2) - 16)  # only a word that ends the value can lead to another behind it

@@ -106,6 +106,34 @@ def test_credential_words_that_follow_each_other():
     assert found("token=pwd=") == [] and found("secret: token pwd: x!7Fq#9Lm2z") == ["x!7Fq#9Lm2z"]
 
 
+def least_by_hand(v):
+    """The least cost of v over all words, dates, walks and repeats of units up to 8 at every place."""
+    low, best = v.lower(), [0.0] * (len(v) + 1)
+    plain = low.translate(secrets._LEET)
+    for i in range(len(v) - 1, -1, -1):
+        costs = [best[i + 1] + secrets._single(v[i])]
+        for j in range(i + 3, len(v) + 1):
+            if plain[i:j] in secrets._RANK:
+                costs.append(best[j] + 1 + secrets._RANK[plain[i:j]] + ((v[i:j] != low[i:j]) + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))) * np.log10(2))
+            if all(low[k : k + 2] in secrets._NEXT for k in range(i, j - 1)):
+                costs.append(best[j] + np.log10(47) + np.log10(j - i) + (v[i:j] != low[i:j]) * np.log10(2))
+            costs += [best[j] + sum(map(secrets._single, v[i : i + u])) + np.log10((j - i) // u) for u in range(1, 9) if (j - i) % u == 0 and j - i > u and v[i:j] == v[i : i + u] * ((j - i) // u)]
+        best[i] = min(costs)
+    return best[0]
+
+
+def test_long_values_are_segmented_whole():
+    assert abs(secrets.segment("1" * 1000)[0] - 4) < 1e-9 and secrets.segment("1" * 1000)[1] == [("repeat", 0, 1000)]
+    assert secrets.segment("qwertyuiop" * 60)[0] < 9 and secrets.guess_spans("token: " + "1" * 1000) == []
+    r = random.Random(9)
+    for k in range(600):
+        bits = r.choice([["1", "2", "12", "qw", "we", "a", "Q"], ["pass", "word", "a", "1", "!"], list("qwertyQWE"), list("ab"), ["pwd=", "1", "token"]])
+        v = "".join(r.choice(bits) for _ in range(120 if k < 6 else r.randint(1, 18)))
+        cost, parts = secrets.segment(v * (3 if k < 6 else 1))
+        assert abs(cost - least_by_hand(v * (3 if k < 6 else 1))) < 1e-6, v
+        assert [s for _, s, _ in parts[1:]] == [e for *_, e in parts[:-1]]
+
+
 def test_masking():
     assert secrets.masked('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ok') == 'token = "[SECRET]" ok'
     assert secrets.masked("nothing here") == "nothing here"
