@@ -3,7 +3,8 @@
 Each partition packs its own documents, one after the other. A level array counts the partly filled
 windows by their fill; a document, or what is left of it after whole windows, goes to the level where
 the sum of the squared counts is least afterwards. At the end of a partition the windows that are still
-open are filled up from the emptiest ones, and the last is cut into powers of two, which need no padding.
+open are filled up from the emptiest ones, and the last is cut into powers of two, which need no padding;
+half of them are filled up so before, whenever more than MOST_OPEN are open, which bounds the memory.
 """
 
 from __future__ import annotations
@@ -12,28 +13,35 @@ import json
 import os
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyhouse.llm.shared import as_texts, slices
+from tallyhouse.llm.shared import slices, strings
 
 WINDOW = 2048
-#: Word forms whose ids a Python worker remembers, and words longer than this are never remembered.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 40
-
-# Characters for which lower case, normal form and splitting are certain: Latin letters that stay one
-# letter in lower case, digits, and ASCII signs without the apostrophe. Words of others go to the library.
-_LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
-_SIGNS = r"!-&(-/:-@\[-`{-~"
+#: Word forms, and pieces of words, whose ids a Python worker remembers; longer ones than REMEMBERED_CHARS never.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+#: Windows of a partition that may be open; beyond, half of them are filled up from the emptiest ones.
+MOST_OPEN = 4096
+
+# Characters for which lower case, normal form and splitting are certain: Latin letters that are one letter
+# of this range in lower case too, digits, and ASCII signs. Words with others go to the library.
+_RANGE = [*map(chr, range(0x41, 0x5B)), *map(chr, range(0x61, 0x7B)), *map(chr, range(0xC0, 0x250))]
+_LETTERS = "".join(c for c in _RANGE if c.isalpha() and c.lower() in _RANGE)
+_SIGNS = r"!-/:-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
-_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
-#: Marks the end of a word; no byte of UTF-8.
-_END = b"\xff"
+_PLAIN_ROW = re.compile(f"[{_LETTERS}0-9{_SIGNS} ]*")
+# The endings that the vocabulary's splitter cuts off, then its runs of letters, digits and signs.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_SIGNS}]+| ")
+#: Marks the end of a piece among ranks, no byte of a plain piece, and that of a word among ids, no id.
+_END, _BREAK = b"\x01", b"\xff" * 4
 
 
 def merge_table(vocabulary: str) -> tuple[dict[bytes, int], np.ndarray, bool]:
@@ -99,8 +107,9 @@ class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, word by word with a bounded memory.
 
     The tokenizer's normaliser and splitter never join characters over a space or a line break, so the ids
-    of a text are those of its parts between these. Plain words are merged by a rank table made from the
-    vocabulary, if that is found to merge alike; all others by the tokenizers library.
+    of a text are those of its words. Plain words are cut as the vocabulary's splitter cuts them, and their
+    pieces merged by a rank table made from the vocabulary, if that is found to merge alike; all others go
+    to the tokenizers library as they are.
     """
 
     def __init__(self, vocabulary: str, end_id: int | None):
@@ -109,39 +118,71 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(vocabulary)
         self.model.encode_special_tokens = True
-        self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        self.end = np.array([] if end_id is None else [end_id], "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.of_piece: dict[str, bytes] = {" ": _BREAK}
         ranks, self.table, self.ranked = merge_table(vocabulary)
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece if self.ranked else None
+        if self.ranked:
+            ends = [rank for token, rank in ranks.items() if token.endswith(_END)]
+            self.last = np.zeros(len(self.table), bool)
+            self.last[ends] = True
+            self.ranks = tiktoken.Encoding("pieces", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+
+    def merged(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of plain pieces."""
+        found, end = list(pieces), _END.decode()
+        if not found:
+            return {}
+        ids = np.array(self.ranks.encode_ordinary(end.join(found) + end), np.int64)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        made = self.table[ids].astype("<u4").tobytes()
+        return {x: made[a:b] for x, a, b in zip(found, [0, *ends[:-1]], ends, strict=True)}
 
     def new(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.ranked else []
-        merge, ids, sizes = self.merge, [], []
-        for w in plain:
-            n = len(ids)
-            for piece in _PIECES.findall(w.lower()):
-                ids += merge(piece.encode() + _END)
-            sizes.append(len(ids) - n)
-        ends = (np.cumsum(sizes) * 4).tolist()
-        all_ids = self.table[np.array(ids, np.int64)].astype("<u4").tobytes()
-        out = {w: all_ids[e - 4 * n : e] for w, n, e in zip(plain, sizes, ends, strict=True)}
+        """Ids of words."""
+        plain = words if self.ranked else []
+        if not _PLAIN_ROW.fullmatch(joined := " ".join(plain)):
+            plain = [w for w in plain if _PLAIN.fullmatch(w)]
+            joined = " ".join(plain)
+        out = {}
+        if plain:
+            pieces = _PIECES.findall(joined.lower())
+            wanted = set(pieces)
+            if len(self.of_piece) > REMEMBERED:
+                self.of_piece = {" ": _BREAK} | {x: self.of_piece[x] for x in wanted if x in self.of_piece}
+            missing = {x for x in wanted if x not in self.of_piece}
+            self.of_piece |= self.merged(missing)
+            out = dict(zip(plain, b"".join(map(self.of_piece.__getitem__, pieces)).split(_BREAK), strict=True))
+            for x in missing:
+                if len(x) > REMEMBERED_CHARS:
+                    del self.of_piece[x]
         other = [w for w in words if w not in out]
-        out |= {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True)}
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        wanted: set[str] = set().union(*split)
+        found = self.model.encode_batch_fast(other, add_special_tokens=False) if other else []
+        return out | {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(other, found, strict=True)}
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = strings(coded.dictionary)
         if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in wanted if w in self.known} | {"": b""}
-        missing = [w for w in wanted if w not in self.known]
+            self.known = {w: self.known[w] for w in words if w in self.known} | {"": b""}
+        missing = list({w for w in words if w not in self.known})
         self.known |= self.new(missing)
-        find = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(find, words)) + self.end, "<u4") for words in split]
+        found = [self.known[w] for w in words]
         for w in missing:
             if len(w) > REMEMBERED_CHARS:
                 del self.known[w]
-        return out
+        # the ids of every word's every place, gathered from those of the different words
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = coded.indices.to_numpy()
+        many = size[at]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        place = np.repeat(((np.cumsum(size) - size)[at] - ends[:-1]).astype(np.int32), many)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), "<u4")[place]
+        bounds = ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return [np.concatenate([ids[a:b], self.end]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -153,11 +194,19 @@ def encoder(vocabulary: str, end_id: int | None) -> WordEncoder:
 class Packer:
     """Pieces (document, start, length) in windows; documents are given by their ids."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
-        self.count = np.zeros(window + 1, np.int64)
-        self.open: list[list[list[tuple[int, int, np.ndarray]]]] = [[] for _ in range(window + 1)]
+    def __init__(self, window: int = WINDOW, most_open: int = MOST_OPEN):
+        self.window, self.most_open = window, most_open
         self.closed: list[list[tuple[int, int, np.ndarray]]] = []
+        self._reset()
+
+    def _reset(self) -> None:
+        self.open: list[list[list[tuple[int, int, np.ndarray]]]] = [[] for _ in range(self.window + 1)]
+        self.opened = 0
+        # what the sum of squares gains when a level loses a window, 1 - 2n, or gets one, 1 + 2n; full windows don't count
+        self.less = np.full(self.window + 1, 1 << 60)
+        self.less[0] = 0
+        self.more = np.ones(self.window + 1, np.int64)
+        self.more[self.window] = 0
 
     def add(self, document: int, ids: np.ndarray) -> None:
         whole = len(ids) // self.window * self.window
@@ -165,37 +214,43 @@ class Packer:
             self.closed.append([(document, at, ids[at : at + self.window])])
         if whole < len(ids):
             self._place((document, whole, ids[whole:].copy()))  # so that an open window doesn't hold a long document
+        if self.opened > self.most_open:
+            self._fill(self.most_open // 2)
+
+    def _count(self, level: int) -> None:
+        n = len(self.open[level])
+        self.less[level] = 1 - 2 * n if n else 1 << 60
+        self.more[level] = 1 + 2 * n
 
     def _place(self, piece: tuple[int, int, np.ndarray]) -> None:
-        size, n = len(piece[2]), self.count
-        # what the sum of squares gains: a level that loses a window by 1 - 2n, one that gets it by 1 + 2n; full windows don't count
-        gain = np.full(self.window - size + 1, np.iinfo(np.int64).max)
-        target = np.where(np.arange(size, self.window + 1) < self.window, 1 + 2 * n[size:], 0)
-        have = n[: self.window - size + 1] > 0
-        have[0] = False
-        gain[have] = (1 - 2 * n[: self.window - size + 1] + target)[have]
-        gain[0] = target[0]
-        # of equal gains the fullest window
+        size = len(piece[2])
+        gain = self.less[: self.window - size + 1] + self.more[size:]
+        # of equal gains the fullest window; level 0 is a fresh one
         level = len(gain) - 1 - int(np.argmin(gain[::-1]))
         if level:
             pieces = self.open[level].pop()
-            n[level] -= 1
+            self._count(level)
+            self.opened -= 1
         else:
             pieces = []
         pieces.append(piece)
         if level + size == self.window:
             self.closed.append(pieces)
         else:
-            self.open[level + size].append(pieces)
-            n[level + size] += 1
+            self._put(pieces, level + size)
 
-    def finish(self) -> None:
-        """Close the open windows: all full but for powers of two."""
-        left = [pieces for level in range(self.window, 0, -1) for pieces in self.open[level]]
-        self.open, self.count = [[] for _ in range(self.window + 1)], np.zeros(self.window + 1, np.int64)
+    def _put(self, pieces: list[tuple[int, int, np.ndarray]], level: int) -> None:
+        self.open[level].append(pieces)
+        self._count(level)
+        self.opened += 1
+
+    def _fill(self, until: int) -> list[tuple[int, int, np.ndarray]]:
+        """Fill the fullest open windows from the emptiest ones until so many are open; what then is left of one, where until is 0."""
+        left = deque(pieces for level in range(self.window, 0, -1) for pieces in self.open[level])
+        self._reset()
         spare: list[tuple[int, int, np.ndarray]] = []
-        while left:
-            pieces = left.pop(0)
+        while len(left) > until:
+            pieces = left.popleft()
             room = self.window - sum(len(p[2]) for p in pieces)
             while room and (spare or left):
                 if not spare:
@@ -206,11 +261,18 @@ class Packer:
                     spare.append((document, start + room, ids[room:]))
                 room -= len(pieces[-1][2])
             if room:
-                self._cut(pieces)
-            else:
-                self.closed.append(pieces)
-        if spare:
-            self._cut(spare)
+                return pieces
+            self.closed.append(pieces)
+        if not until:
+            return spare
+        for pieces in [*left, *([spare] if spare else [])]:
+            self._put(pieces, sum(len(p[2]) for p in pieces))
+        return []
+
+    def finish(self) -> None:
+        """Close the open windows: all full but for powers of two."""
+        if rest := self._fill(0):
+            self._cut(rest)
 
     def _cut(self, pieces: list[tuple[int, int, np.ndarray]]) -> None:
         total = sum(len(p[2]) for p in pieces)
@@ -239,7 +301,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
 
     Every id of a document (those of the tokenizer, then end_id) lies in exactly one piece; the pieces of a
     sequence lie gapless from offset 0. Sequences hold window ids, or a power of two of them at the end of
-    a partition. sequence_id is the partition's number times 2**40 plus the place in it, so it is unique.
+    a partition. Documents of ids that fit no open window, in any number, leave MOST_OPEN windows open at most. sequence_id is the partition's number times 2**40 plus the place in it, so it is unique.
     Null and empty texts have end_id alone (without end_id: no pieces). Repeated rows are packed each; an
     empty table gives no rows; other columns are ignored. vocabulary must be readable on every executor.
     """
@@ -271,7 +333,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
 
         for batch in batches:
             for part in slices(batch):
-                for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(as_texts(part.column(1))), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1)), strict=True):
                     if len(ids):
                         about[number] = [doc_id, len(ids), len(ids)]
                         packer.add(number, ids)

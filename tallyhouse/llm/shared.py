@@ -23,6 +23,14 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
         return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The same of a column without nulls, faster for many short strings."""
+    try:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    except UnicodeDecodeError:
+        return as_texts(column)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -243,6 +243,49 @@ def test_words_encode_as_the_library_does():
         assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_words_of_every_letter_encode_as_the_library_does():
+    """Letters whose lower case is elsewhere, signs, endings and blanks, alone, between letters and mixed."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    t.encode_special_tokens = True
+    own, r = packing.encoder(VOCABULARY, 1), random.Random(24)
+    texts = []
+    for c in map(chr, [*range(0x250), 0x2028, 0x300, 0x308, 0x1E9E, 0xFB01]):
+        texts += [c, f"ab{c}cd", f"x {c} y", c * 3, f"it'{c}s", f"{c}'s", f"1{c}.a "]
+    every = [*map(chr, range(0x250)), *["'s", "'RE", " ", " ", "\n"] * 20]
+    texts += ["".join(r.choice(every) for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    texts += ["".join(r.choice("abeioU''.,!1sSdDtT  \n") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_words_encode_alike_when_the_memory_is_full(monkeypatch):
+    own, texts = packing.encoder(VOCABULARY, 1), [t or "" for _, t, _ in corpus(25, 60)]
+    want = [x.tolist() for x in own.encode(texts)]
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    assert [own.encode([t])[0].tolist() for t in texts] == want
+
+
+def test_open_windows_are_bounded():
+    """Documents that fit no open window: 3,000 of 1,100 tokens; then sizes of every kind."""
+    r = random.Random(33)
+    for sizes in ([1100] * 3000, [r.randint(1, 5000) for _ in range(2000)]):
+        p = packing.Packer(2048, 64)
+        for k, n in enumerate(sizes):
+            p.add(k, np.arange(n, dtype=np.uint32))
+            assert p.opened == sum(map(len, p.open)) <= 64
+        p.finish()
+        fills = [sum(len(x[2]) for x in w) for w in p.closed]
+        assert all(n == 2048 for n in fills if n & (n - 1)) and sum(n < 2048 for n in fills) <= 11
+        whole = defaultdict(list)
+        for w in p.closed:
+            for k, start, ids in w:
+                assert ids[0] == start
+                whole[k] += ids.tolist()
+        assert all(sorted(whole[k]) == list(range(n)) for k, n in enumerate(sizes))
+
+
 def check_pieces(rows, want, window):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -293,7 +336,7 @@ def test_levels_minimise_the_sum_of_squares():
                 after[level + size] += 1
             costs[level] = sum(v * v for v in after.values())
         p.add(k, np.zeros(size, np.uint32))
-        now = Counter({i: int(n) for i, n in enumerate(p.count) if n})
+        now = Counter({i: len(x) for i, x in enumerate(p.open) if x})
         assert sum(v * v for v in now.values()) == min(costs.values())
         counts = now
 
