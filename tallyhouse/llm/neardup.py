@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import components
-from tallyhouse.llm.shared import as_bytes, chained, kept, map_slices, mixed, prefix_hashes, row_key, span_hashes, word_bounds
+from tallyhouse.llm.shared import as_bytes, chained, kept, map_slices, mixed, row_key, word_hashes
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -46,11 +46,9 @@ class Rule:
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the windows of n words, A-Z in lower case; fewer words count as one window."""
-    data = np.frombuffer(text.translate(_LOWER), np.uint8)
-    start, end = word_bounds(data)
-    if not len(start):
+    words = word_hashes(text.translate(_LOWER))
+    if not len(words):
         return np.zeros(0, np.uint64)
-    words = span_hashes(prefix_hashes(data), start, end)
     return np.unique(chained(words, min(n, len(words))) + np.uint64(min(n, len(words)) < n))
 
 

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import as_bytes, chained, map_slices, mixed, prefix_hashes, span_hashes, word_bounds
+from tallyhouse.llm.shared import as_bytes, chained, map_slices, mixed, word_hashes
 
 # Fixed values of the base contract.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 
-#: Hash bits of each of the four families: words, word pairs, three and five bytes.
+#: Hash bits of each of the four families: words, word pairs, three and five characters.
 BITS, FAMILIES = 14, 4
 #: Rows that a gradient is summed over at a time, which bounds what it takes beside the features.
 CHUNK = 256
@@ -42,27 +42,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.offset, -30, 30)))
 
 
-def hashed(data: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+def hashed(text: bytes, words: np.ndarray) -> list[np.ndarray]:
     """Indices of the weights of every token, by family."""
     top = np.uint64(64 - BITS)
     out = [mixed(words) >> top, chained(words, 2) >> top if len(words) > 1 else np.zeros(0, np.uint64)]
-    wide = data.astype(np.uint64)
-    for n in (3, 5):
-        if len(data) < n:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        gram = np.zeros(len(data) - n + 1, np.uint64)
-        for k in range(n):
-            gram |= wide[k : len(data) - n + 1 + k] << np.uint64(8 * k)
-        out.append(mixed(gram + np.uint64(n)) >> top)
+    # three code points of 21 bits fit a number
+    char = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+    three = char[:-2] | char[1:-1] << np.uint64(21) | char[2:] << np.uint64(42)
+    with np.errstate(over="ignore"):
+        five = mixed(three[:-2]) + (char[3:-1] | char[4:] << np.uint64(21)) * np.uint64(0x9FB21C651E98DF25)
+    out += [mixed(three + np.uint64(3)) >> top, mixed(five) >> top]
     return [x.astype(np.int64) + (i << BITS) for i, x in enumerate(out)]
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text: in each family, the share of its tokens with that hash."""
-    data = np.frombuffer(text, np.uint8)
-    start, end = word_bounds(data)
-    found = hashed(data, span_hashes(prefix_hashes(data), start, end))
+    found = hashed(text, word_hashes(text))
     at, n = np.unique(np.concatenate(found), return_counts=True)
     sizes = np.array([max(1, len(x)) for x in found])
     return at, n / sizes[at >> BITS]
@@ -153,9 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 def measure(text: bytes, model: Model | None) -> tuple[int, int, int, int, int, float]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the model's score of a text."""
     data = np.frombuffer(text, np.uint8)
-    start, end = word_bounds(data)
-    prefix = prefix_hashes(data)
-    words = span_hashes(prefix, start, end)
+    words = word_hashes(text)
     within = (data != 32) & ((data < 9) | (data > 13))
     chars = int((within & ((data & 0xC0) != 0x80)).sum())
     seen: set[bytes] = set()
@@ -181,7 +174,7 @@ def measure(text: bytes, model: Model | None) -> tuple[int, int, int, int, int,
             repeated = int(covered.sum())
     score = 0.0
     if model is not None:
-        score = model.bias + sum(float(model.weights[x].mean()) for x in hashed(data, words) if len(x))
+        score = model.bias + sum(float(model.weights[x].mean()) for x in hashed(text, words) if len(x))
     return len(words), chars, int(_IS_SYMBOL[data].sum()), dups, repeated, score
 
 

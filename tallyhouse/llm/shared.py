@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -69,15 +70,16 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else one of our own for local runs."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, else its checkpoint folder; one of our own for local runs alone."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    there = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not there:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = "/tmp/checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(there)
+    if held.isEmpty():
+        context.setCheckpointDir(there)
     return there
 
 
@@ -96,23 +98,6 @@ def row_key(*more: str) -> "F.Column":
     return F.xxhash64("doc_id", "text", *more)
 
 
-# Vectorised hashing: prefix sums of byte * P**i modulo 2**64 give any substring's hash in O(1).
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POW = np.ones(1, np.uint64)
-_NEG = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _NEG
-    if len(_POW) < n:
-        size = max(n, 1 << 16, 2 * len(_POW))
-        with np.errstate(over="ignore"):
-            _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _P, np.uint64)]))
-            _NEG = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _INV, np.uint64)]))
-    return _POW, _NEG
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit over the output."""
     with np.errstate(over="ignore"):
@@ -121,20 +106,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """For uint8 data, the array S with S[j] - S[i] = the sum of (byte + 1) * P**t for i <= t < j."""
-    pow_, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pow_[: len(data)], out=out[1:])
-    return out
-
-
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end), independent of where they stand."""
-    _, neg = _powers(len(prefix))
-    with np.errstate(over="ignore"):
-        return mixed((prefix[end] - prefix[start]) * neg[start] + (end - start).astype(np.uint64))
+def eights(text: bytes) -> np.ndarray:
+    """The eight bytes from each place of text on as one number, little-endian; zeros follow the text."""
+    return np.ndarray(len(text), "<u8", text + bytes(8), strides=(1,))
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +120,30 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
+#: Words longer than this are hashed one by one.
+LONG_WORD = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of text, in order. Each eight bytes are mixed into what came before, so no algebra of bases and places makes different words equal."""
+    start, end = word_bounds(np.frombuffer(text, np.uint8))
+    size = end - start
+    at = eights(text)
+    with np.errstate(over="ignore"):
+        out = mixed(mixed(at[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64))
+        more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        done = 8
+        while len(more):
+            left = size[more] - done
+            out[more] = mixed(out[more] * np.uint64(0x9FB21C651E98DF25) + mixed(at[start[more] + done] & _FIRST[np.minimum(left, 8)]))
+            done += 8
+            more = more[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def chained(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all windows of n consecutive words."""
     with np.errstate(over="ignore"):

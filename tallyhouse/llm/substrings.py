@@ -4,11 +4,15 @@ Each window of SIZE bytes has an anchor, its least-hashed GRAM bytes; equal wind
 at equal places. Consecutive windows with one anchor make a context. Only anchors that occur twice or
 more can hold repeats. Where all contexts of an anchor are equal, all their bytes repeat; else one
 context of each kind is fetched, and deep-shallow sorting of what follows and what precedes the anchor
-gives the bytes that repeat.
+gives the bytes that repeat. An anchor with many kinds is dealt by the bytes that its windows share, so
+that each part is sorted by itself; where these are the whole windows, the members of a part are equal.
+
+Kinds of contexts are told apart by 64 bits of BLAKE2b beside the 64 bits of their anchor.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import as_bytes, kept, map_slices, mixed, prefix_hashes, row_key, span_hashes
+from tallyhouse.llm.shared import as_bytes, eights, kept, map_slices, mixed, row_key, slices
 from tallyhouse.llm.suffixes import widest
 
 SIZE, GRAM = 200, 24
 #: Bytes that one numpy pass handles; longer texts are read in overlapping pieces.
-PIECE = 1 << 20
-#: Different contexts of one anchor that one task sorts; anchors with more are decided by counting their windows.
-SORTED_AT_ONCE = 20_000
+PIECE = 1 << 17
+#: Kinds of contexts of an anchor that are sorted together at most; one with more is dealt into parts of so many neighbouring window starts, and a part with PART_KINDS times as many into single ones.
+SORTED_AT_ONCE, STARTS, PART_KINDS = 1000, 22, 20
 
 _BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -49,27 +53,34 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(behind[first] <= ahead[last], behind_at[first], ahead_at[last])
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor hash, context hash, anchor place, first and last window start of each context; data are texts one behind the other, each up to its end."""
-    if len(data) < size:
+def grams(text: bytes) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on. Equal bytes have equal hashes; others seldom, which costs work alone."""
+    at = eights(text)
+    n = len(text) - GRAM + 1
+    with np.errstate(over="ignore"):
+        out = at[:n] * np.uint64(0x9E3779B97F4A7C15) + at[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+        return mixed(out + at[16 : n + 16] * np.uint64(0x165667B19E3779F9))
+
+
+def contexts(text: bytes, ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, ...]:
+    """Anchor hash, context hash, anchor place, first and last window start of each context; text holds texts one behind the other, each up to its end."""
+    if len(text) < size:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    prefix = prefix_hashes(data)
-    first = np.arange(len(data) - gram + 1)
-    grams = span_hashes(prefix, first, first + gram)
-    at = least_places(grams, size - gram + 1)
+    hashes = grams(text)
+    at = least_places(hashes, size - GRAM + 1)
     start = np.arange(len(at))
-    text = np.searchsorted(ends, start, side="right")
-    whole = start + size <= ends[np.minimum(text, len(ends) - 1)]
-    start, at, text = start[whole], at[whole], text[whole]
+    own = np.searchsorted(ends, start, side="right")
+    whole = start + size <= ends[np.minimum(own, len(ends) - 1)]
+    start, at, own = start[whole], at[whole], own[whole]
     if not len(start):
-        return contexts(data[:0], ends)
-    turn = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
+        return contexts(b"", ends, size)
+    turn = np.concatenate([[True], (at[1:] != at[:-1]) | (own[1:] != own[:-1])])
     lo = start[turn]
     hi = start[np.concatenate([turn[1:], [True]])]
     at = at[turn]
-    with np.errstate(over="ignore"):
-        held = mixed(span_hashes(prefix, lo, hi + size) + (at - lo).astype(np.uint64))
-    return grams[at], held, at, lo, hi
+    # the anchor's place in a context follows from its bytes
+    held = b"".join([hashlib.blake2b(text[a:b], digest_size=8).digest() for a, b in zip(lo.tolist(), (hi + size).tolist(), strict=True)])
+    return hashes[at], np.frombuffer(held, "<u8"), at, lo, hi
 
 
 def anchors(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -82,7 +93,7 @@ def anchors(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
         def flush() -> None:
             ends = np.cumsum([len(x) for _, _, x in pieces])
-            h, c, at, lo, hi = contexts(np.frombuffer(b"".join(x for _, _, x in pieces), np.uint8), ends, size)
+            h, c, at, lo, hi = contexts(b"".join(x for _, _, x in pieces), ends, size)
             own = np.searchsorted(ends, lo, side="right")
             shift = np.array([o for _, o, _ in pieces])[own] - (ends - np.array([len(x) for _, _, x in pieces]))[own]
             out.append((keys[np.array([r for r, _, _ in pieces])[own]], h.view(np.int64), c.view(np.int64), at + shift, lo + shift, hi + shift))
@@ -107,19 +118,18 @@ def anchors(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """h, c, s and e (covered bytes of the context) from rows h, c, n, off, ctx that come by h."""
-    group: dict[int, tuple[int, int, bytes]] = {}
+    """h, c, s and e (covered bytes of the context) from rows h, part, c, n, off, cut, ctx that come by h and part; ctx starts at cut in the context, the anchor at off."""
+    group: list[tuple[int, int, int, int, bytes]] = []
     out: list[tuple[int, int, int, int]] = []
     current = None
 
     def close() -> None:
-        members = [(c, *x) for c, x in group.items()]
-        found = widest([x[3][: x[2]][::-1] for x in members], [x[3][x[2] :] for x in members], size)
-        for (c, n, off, ctx), best in zip(members, found, strict=True):
+        found = widest([x[4][: x[2] - x[3]][::-1] for x in group], [x[4][x[2] - x[3] :] for x in group], size)
+        for (c, n, off, cut, ctx), best in zip(group, found, strict=True):
             if n > 1:
-                out.append((current, c, 0, len(ctx)))
+                out.append((current[0], c, cut, cut + len(ctx)))
             elif best:
-                out.append((current, c, off - best[0], off + best[1]))
+                out.append((current[0], c, off - best[0], off + best[1]))
 
     def emitted() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) if out else [()] * 4
@@ -127,12 +137,12 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "c", "s", "e"])
 
     for batch in batches:
-        for h, c, n, off, ctx in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if h != current:
+        for h, part, *member in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if (h, part) != current:
                 if group:
                     close()
-                group, current = {}, h
-            group[c] = (n, off, ctx)
+                group, current = [], (h, part)
+            group.append(tuple(member))
         if len(out) > 10_000:
             yield emitted()
     if group:
@@ -140,6 +150,19 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
     yield emitted()
 
 
+def dealt(kinds: DataFrame, starts: int, size: int = SIZE) -> DataFrame:
+    """kinds (h, part, c, n, off, cut, ctx) once for each group of so many window starts before the anchor that they have windows with, cut to these windows; part is then a hash of the group and the bytes that all its windows share."""
+    # a window that starts d bytes before the anchor: the group g of d holds d from g * starts to (g + 1) * starts - 1
+    least, most = F.expr(f"greatest(0, {size} - (octet_length(ctx) - (off - cut)))"), F.expr(f"least(off - cut, {size - GRAM})")
+    each = kinds.withColumn("a", F.col("off") - F.col("cut")).withColumn("g", F.explode(F.sequence(F.floor(least / starts).cast("int"), F.floor(most / starts).cast("int"))))
+    before, behind = F.expr(f"least(a, (g + 1) * {starts} - 1)"), F.expr(f"least(octet_length(ctx) - a, {size} - g * {starts})")
+    each = each.withColumn("from", F.col("a") - before).withColumn("to", F.col("a") + behind)
+    # where a context's windows end within the group, it still holds all that the group's windows share
+    shared = F.expr(f"substring(ctx, a - g * {starts} + 1, {size} - {starts} + 1)")
+    part = F.xxhash64("part", "g", F.sha2(shared, 256))
+    return each.select("h", part.alias("part"), "c", "n", "off", (F.col("cut") + F.col("from")).alias("cut"), F.expr("substring(ctx, `from` + 1, `to` - `from`)").alias("ctx"))
+
+
 def covered(texts: DataFrame, size: int = SIZE, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """key and spans (array of s, e; not merged) of the rows (key, text) of which bytes repeat."""
     found = anchors(texts, size)
@@ -152,20 +175,33 @@ def covered(texts: DataFrame, size: int = SIZE, at_once: int = SORTED_AT_ONCE) -
     kinds = own.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "lo", "hi")).alias("at"))
     wanted = kinds.select(F.col("at.key").alias("key"), F.struct("h", "c", "n", "at.pos", "at.lo", "at.hi").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
 
-    def fetch(batch: pa.RecordBatch) -> dict:
-        rows = [(w["h"], w["c"], w["n"], w["pos"] - w["lo"], text[w["lo"] : w["hi"] + size]) for text, some in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for w in some]
-        return dict(zip(("h", "c", "n", "off", "ctx"), (list(x) for x in (zip(*rows, strict=True) if rows else [()] * 5)), strict=True))
-
-    fetched = kept(map_slices(texts.join(wanted, "key").select("text", "wanted"), fetch, "h long, c long, n long, off int, ctx binary"))
-    large = kept(fetched.groupBy("h").count().where(F.col("count") > at_once).select("h"))
-    many = not large.isEmpty()
-    small = fetched.join(large, "h", "left_anti") if many else fetched
-    ranges = small.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _sorted_groups(b, size), "h long, c long, s int, e int")
-    if many:
-        windows = fetched.join(large, "h", "left_semi").select("h", "c", "n", "off", F.posexplode(F.expr(f"transform(sequence(0, octet_length(ctx) - {size}), i -> sha2(substring(ctx, i + 1, {size}), 256))")).alias("d", "w"))
-        rel = F.col("d") - F.col("off")
-        repeated = windows.groupBy("h", rel.alias("rel"), "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "rel", "w")
-        ranges = ranges.unionByName(windows.withColumn("rel", rel).join(repeated, ["h", "rel", "w"], "left_semi").groupBy("h", "c").agg(F.min("d").alias("s"), (F.max("d") + size).cast("int").alias("e")))
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for key, text, some in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
+                    if key != last:  # rows with one key are equal, and the join brings them together
+                        rows += [(w["h"], 0, w["c"], w["n"], w["pos"] - w["lo"], 0, text[w["lo"] : w["hi"] + size]) for w in some]
+                    last = key
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()], strict=True)], names=["h", "part", "c", "n", "off", "cut", "ctx"])
+
+    fetched = texts.join(wanted, "key").select("key", "text", "wanted").mapInArrow(fetch, "h long, part long, c long, n long, off int, cut int, ctx binary")
+    open_, ranges = kept(fetched), None
+    for starts, most in ((STARTS, at_once), (1, PART_KINDS * at_once)):
+        large = kept(open_.groupBy("h", "part").count().where(F.col("count") > most).select("h", "part"))
+        some = not large.isEmpty()
+        small = open_.join(large, ["h", "part"], "left_anti") if some else open_
+        done = small.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(lambda b: _sorted_groups(b, size), "h long, c long, s int, e int")
+        ranges = done if ranges is None else ranges.unionByName(done)
+        if not some:
+            break
+        open_ = kept(dealt(open_.join(large, ["h", "part"], "left_semi"), starts, size))
+    else:
+        # one start each: the members of a part are equal, which leaves nothing to sort
+        repeated = open_.groupBy("h", "part").agg(F.sum("n").alias("times")).where("times > 1")
+        ranges = ranges.unionByName(open_.join(repeated, ["h", "part"], "left_semi").select("h", "c", F.col("cut").alias("s"), (F.col("cut") + size).alias("e")))
     spans = own.join(ranges, ["h", "c"]).select("key", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
     return alike.unionByName(spans).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
