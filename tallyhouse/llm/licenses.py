@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,6 +41,20 @@ NOTICES = (
     ("creative commons attribution noncommercial", "cc-by-nc", 3),
     ("this work is dedicated to the public domain", "public-domain", 4),
     ("all rights reserved", "all-rights-reserved", 1),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 6),
+    ("this software is provided as is without any express or implied warranty", "zlib", 6),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 6),
+    ("cc0 1 0 universal", "cc0", 1),
+    ("creative commons zero", "cc0", 2),
+    ("creative commons attribution sharealike", "cc-by-sa", 3),
+    ("creative commons attribution noderivatives", "cc-by-nd", 3),
+    ("boost software license", "bsl", 2),
+    ("european union public licence", "eupl", 2),
+    ("common development and distribution license", "cddl", 3),
+    ("server side public license", "sspl", 2),
+    ("business source license", "busl", 2),
+    ("the artistic license", "artistic", 2),
+    ("do what the fuck you want to public license", "wtfpl", 3),
 )
 
 _BLANK = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
@@ -62,7 +77,8 @@ def _search(notices: tuple):
             end = at + size + (k < rest)
             held.setdefault(text[at:end], []).append((n, at))
             at = end
-        patterns.append(regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?![^ ])"))
+        # spaces that must be there: a window's end hides what follows, so a negative look-ahead would take it for a word's end
+        patterns.append(regex.compile(rf"(?e)(?<= )(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?= )"))
     for seed, uses in held.items():
         seeds.add_word(seed, (len(seed), uses))
     seeds.make_automaton()
@@ -72,12 +88,13 @@ def _search(notices: tuple):
 def fuzzy_notices(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) of the places of notices in text (words joined by single spaces), leftmost first for each notice, not overlapping; only places at word bounds."""
     seeds, patterns = _search(notices)
+    text = f" {text} "
     windows: dict[int, list[list[int]]] = {}
     for last, (size, uses) in seeds.iter(text):
         begin = last + 1 - size
         for n, at in uses:
             whole, edits = len(notices[n][0]), notices[n][2]
-            lo, hi = max(0, begin - at - edits), min(len(text), begin - at + whole + edits)
+            lo, hi = max(0, begin - at - edits), min(len(text), begin - at + whole + edits + 1)
             mine = windows.setdefault(n, [])
             if mine and lo <= mine[-1][1]:
                 mine[-1][0], mine[-1][1] = min(mine[-1][0], lo), max(mine[-1][1], hi)
@@ -90,7 +107,7 @@ def fuzzy_notices(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, i
             while at < hi and (m := patterns[n].search(text, at, hi)):
                 start, end = m.span()
                 at = max(end, start + 1)
-                out.append((n, start, end, sum(m.fuzzy_counts)))
+                out.append((n, start - 1, end - 1, sum(m.fuzzy_counts)))
     return out
 
 
@@ -100,12 +117,19 @@ def scan(data: bytes, phrases: dict[str, str] = PHRASES, notices: tuple = NOTICE
     joined = b" " + b" ".join(words) + b" "
     base = []
     for phrase, label in phrases.items():
-        needle, at = b" " + phrase.encode() + b" ", -1
+        needle, at, places = b" " + phrase.encode() + b" ", -1, []
         while (at := joined.find(needle, at + 1)) >= 0:
-            base.append((joined.count(b" ", 0, at), label))
+            places.append(at)
+        if places:
+            spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            base += [(k, label) for k in np.searchsorted(spaces, places).tolist()]
     text = joined[1:-1].decode("utf-8", "replace")
-    fuzzy = [(notices[n][1], text.count(" ", 0, start), text.count(" ", 0, end) + 1, edits, 1 - edits / len(notices[n][0])) for n, start, end, edits in fuzzy_notices(text, notices)]
-    return len(words), sorted(base), fuzzy
+    found = fuzzy_notices(text, notices)
+    if not found:
+        return len(words), sorted(base), []
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+    first, last = (np.searchsorted(spaces, [x[k] for x in found]).tolist() for k in (1, 2))
+    return len(words), sorted(base), [(notices[n][1], a, b + 1, edits, 1 - edits / len(notices[n][0])) for (n, _, _, edits), a, b in zip(found, first, last, strict=True)]
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple = NOTICES) -> DataFrame:

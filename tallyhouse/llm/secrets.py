@@ -59,7 +59,10 @@ def _steps() -> frozenset[str]:
 
 
 _NEXT = _steps()
-_DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
+_YEAR = re.compile(r"(?:19|20)[0-9]{2}")
+_DATES = (re.compile(r"(?:19|20)[0-9]{2}([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])"), re.compile(r"(?:0[1-9]|[12][0-9]|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)[0-9]{2}"))
+#: log10 of about 120 years, and of the days of a year in either order and some ways to part them.
+_YEARS, _DAYS = 2.1, math.log10(365) + 0.6
 
 
 def _single(c: str) -> float:
@@ -108,11 +111,12 @@ def suffixes(value: str, words: dict[str, float] | None = None) -> tuple[list[fl
             if (rank := ranks.get(plain[i:j])) is not None:
                 changed = (value[i:j] != low[i:j]) + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
                 offer("word", i, j, best[j] + 1.0 + rank + changed * math.log10(2))
-        if m := _DATE.match(value, i):
-            years = 2.1  # log10 of about 120 years
-            offer("date", i, m.end(), best[m.end()] + years + (math.log10(365) + 0.6 if m.end() - i > 4 else 0))
-            if m.end() - i > 4 and value[i : i + 2] in ("19", "20"):
-                offer("date", i, i + 4, best[i + 4] + years)
+        if value[i].isdigit():
+            if _YEAR.match(value, i):
+                offer("date", i, i + 4, best[i + 4] + _YEARS)
+            for date in _DATES:
+                if m := date.match(value, i):
+                    offer("date", i, m.end(), best[m.end()] + _YEARS + _DAYS)
         if not (walk and low[i] + low[i + 1] in _NEXT):
             walk, same_case, walks, plain_walks = 0, 0, _Ends(1, 3), _Ends(1, 3)
         walk += 1
