@@ -235,6 +235,17 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, rule: Rule) -> Da
     return found if rest.isEmpty() else components(linked.unionByName(rest))
 
 
+def grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of each row its key (row_key), doc_id, n and digest; and of each digest its component's root, component_id (its least doc_id) and pick (the key of one row of the component that has this id)."""
+    drawn = kept(sketches(docs, rule))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))  # nulls last
+    classes = kept(drawn.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.max("n").alias("n"), F.max("regs").alias("regs")))
+    found = links_between_classes(classes.select("digest", "n", "regs", F.col("first.key").alias("key")), docs, rule)
+    rooted = classes.select("digest", "first").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("pick"))
+    return drawn.select("key", "doc_id", "n", "digest"), rooted.join(ids, "root").select("digest", "root", "component_id", "pick")
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """For each row: doc_id, n_shingles, component_id and kept.
 
@@ -244,14 +255,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     texts, are linked with nothing and keep their own id. Repeated rows repeat, and rows with one doc_id
     but different texts each have their own component. A null doc_id is no component's id unless it has
     no other; such a row is kept only alone. An empty table gives no rows; other columns are ignored.
+    Shingles are told apart by 64-bit hashes.
     """
-    with_key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = kept(sketches(with_key, rule))
-    classes = kept(drawn.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n").alias("n"), F.max("regs").alias("regs")))
-    found = links_between_classes(classes, with_key, rule)
-    rooted = classes.select("digest", "doc_id").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = rooted.join(ids, "root").select("digest", "component_id")
-    out = drawn.select("doc_id", "n", "digest").join(of, "digest", "left")
+    drawn, of = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rule)
+    out = drawn.select("doc_id", "n", "digest").join(of.select("digest", "component_id"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """The rows of docs without near duplicates: of each component a row with its smallest doc_id, whatever rows share that id; the columns pass through, but for one named _key.
+
+    Rows are judged, not ids: of rows with one id but different texts each counts for itself. Rows that
+    repeat id and text go but for one. Texts without words, and null texts, stay.
+    """
+    drawn, of = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rule)
+    stay = of.where("digest = root").select(F.col("pick").alias("_key")).unionByName(drawn.where("digest is null").select(F.col("key").alias("_key")))
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    return docs.withColumn("_key", key).dropDuplicates(["_key"]).join(stay, "_key", "left_semi").drop("_key")

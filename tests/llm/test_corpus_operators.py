@@ -11,6 +11,7 @@ import pytest
 
 from tallyhouse.llm import linedup, neardup, packing, sharding, substrings, suffixes, vectors
 from tallyhouse.llm.components import components
+from tallyhouse.llm.shared import word_hashes
 
 SCHEMA = "doc_id long, text string, source string"
 EDGE = [(1, None, "a"), (2, "", "b"), (3, " \n\t", "a"), (4, "x y", None), (5, "x y", "c"), (5, "x y", "c"), (None, "only", "a"), (7, "long " * 30_000, "a")]
@@ -145,6 +146,44 @@ def test_near_duplicate_edges(edge):
     assert neardup.near_duplicates(edge.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    """A word and its complement whose sums of letter times base**place are equal modulo 2**64 for every odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 64, 40])
+def test_words_that_polynomials_confuse(spark, n):
+    a, b = thue_morse(n)
+    assert word_hashes(a.encode())[0] != word_hashes(b.encode())[0]
+    rows = [(1, f"one two {a} three four five", "s"), (2, f"one two {b} three four five", "s"), (3, f"one two {a} three four five", "s"), (4, b, "s"), (5, a, "s")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), neardup.Rule(4, 80)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found) == sorted(components_by_hand(rows, 4, 80))
+
+
+def test_different_words_have_different_hashes():
+    r = random.Random(67)
+    words = {bytes(r.choice(b"ab\0\xc3") for _ in range(r.choice([1, 2, 3, 7, 8, 9, 15, 16, 17, 24, 63, 64, 65, 100]))) for _ in range(20_000)} | {b"\0" * n for n in range(1, 80)}
+    words = sorted(words)
+    one_text = word_hashes(b" ".join(words))
+    assert len(set(one_text.tolist())) == len(words) == len(one_text)
+    assert [int(word_hashes(w + b"\n")[0]) for w in words[:3000]] == one_text[:3000].tolist()
+
+
+def test_one_of_each_judges_rows_not_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    rows = [(2, text["a"]), (5, text["a"]), (5, text["b"]), (5, text["b"]), (2, text["a"] + " more"), (None, text["c"]), (9, text["c"]), (7, ""), (8, ""), (8, ""), (6, None), (3, "x y")]
+    df = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, n long, digest string")
+    found = neardup.one_of_each(df, neardup.Rule())
+    assert found.columns == df.columns
+    got = [(r.doc_id, r.text) for r in found.collect()]
+    # of the two texts with the group's least id either may stay
+    assert sum(x in ((2, text["a"]), (2, text["a"] + " more")) for x in got) == 1
+    rest = [x for x in got if x[0] != 2]
+    assert sorted(rest, key=str) == sorted([(5, text["b"]), (9, text["c"]), (7, ""), (8, ""), (6, None), (3, "x y")], key=str)
+    assert neardup.one_of_each(df.limit(0)).count() == 0
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
@@ -179,7 +218,7 @@ def removed_by_hand(texts, size):
     return out
 
 
-@pytest.mark.parametrize(("seed", "at_once"), [(8, 20_000), (9, 2)])
+@pytest.mark.parametrize(("seed", "at_once"), [(8, 1000), (9, 2)])
 def test_substrings_against_plain_python(spark, seed, at_once):
     rows = corpus(seed) + [(900, "ab" * 400, "s"), (901, "abab" * 90 + "é" * 150, "s"), (902, "z" * 199, "s"), (903, "z" * 200, "s")]
     found = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA), at_once=at_once).collect()
@@ -187,6 +226,21 @@ def test_substrings_against_plain_python(spark, seed, at_once):
     assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found} == want
 
 
+@pytest.mark.parametrize(("at_once", "parts"), [(2, 1), (2, 20), (40, 1), (1000, 20)])
+def test_substrings_around_a_hot_anchor(spark, monkeypatch, at_once, parts):
+    """One passage in many places: before it, behind it, and at both sides something else, or something that some others have too."""
+    monkeypatch.setattr(substrings, "PART_KINDS", parts)
+    r = random.Random(61)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    core, ends = word(120), [word(90) for _ in range(6)]
+    side = lambda: r.choice([word(150), r.choice(ends), word(r.randint(0, 60)) + r.choice(ends)[r.randint(0, 80) :]])
+    rows = [(i, side() + core + side(), "s") for i in range(250)] + [(900, "x", "s"), (901, core, "s"), (901, core, "s")]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA), at_once=at_once).collect()
+    want = sorted((d, *w) for (d, *_), w in zip(rows, removed_by_hand([t for _, t, _ in rows], 200), strict=True))
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in found) == want
+    assert 0 < sum(w[2] > 0 for w in want) < len(want)
+
+
 def test_substring_edges(edge):
     rows = substrings.digest(edge).collect()
     by = {r.doc_id: r for r in rows}
@@ -200,7 +254,7 @@ def test_pieces_of_long_texts_agree(spark, monkeypatch):
     rows = [(1, "".join(r.choice("abcd") for _ in range(3000)), "s"), (2, "", "s")]
     rows[1] = (2, "x" * 37 + rows[0][1][500:2500] + "y" * 50, "s")
     monkeypatch.setattr(substrings, "PIECE", 700)
-    whole = np.frombuffer(rows[0][1].encode(), np.uint8)
+    whole = rows[0][1].encode()
     cut = substrings.contexts(whole, np.array([len(whole)]))
     assert cut[3][0] == 0 and cut[4][-1] == len(whole) - 200 and (cut[3][1:] == cut[4][:-1] + 1).all()
     found = {r.doc_id: r.n_removed for r in substrings.digest(spark.createDataFrame(rows, SCHEMA)).collect()}

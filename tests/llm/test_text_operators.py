@@ -106,6 +106,15 @@ def test_credential_words_that_follow_each_other():
     assert found("token=pwd=") == [] and found("secret: token pwd: x!7Fq#9Lm2z") == ["x!7Fq#9Lm2z"]
 
 
+def dates_by_hand(v):
+    """log10 of the guesses of v as a year or a date; infinite if it is none."""
+    two = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
+    if re.fullmatch("(19|20)[0-9]{2}", v):
+        return 2.1
+    full = any(re.fullmatch(p, v) for sep in ("", "-", "/", r"\.", "_") for p in (sep.join(["(19|20)[0-9]{2}", *two]), sep.join([*two[::-1], "(19|20)[0-9]{2}"])))
+    return 2.1 + np.log10(365) + 0.6 if full else np.inf
+
+
 def least_by_hand(v):
     """The least cost of v over all words, dates, walks and repeats of units up to 8 at every place."""
     low, best = v.lower(), [0.0] * (len(v) + 1)
@@ -117,6 +126,7 @@ def least_by_hand(v):
                 costs.append(best[j] + 1 + secrets._RANK[plain[i:j]] + ((v[i:j] != low[i:j]) + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))) * np.log10(2))
             if all(low[k : k + 2] in secrets._NEXT for k in range(i, j - 1)):
                 costs.append(best[j] + np.log10(47) + np.log10(j - i) + (v[i:j] != low[i:j]) * np.log10(2))
+            costs.append(best[j] + dates_by_hand(v[i:j]))
             costs += [best[j] + sum(map(secrets._single, v[i : i + u])) + np.log10((j - i) // u) for u in range(1, 9) if (j - i) % u == 0 and j - i > u and v[i:j] == v[i : i + u] * ((j - i) // u)]
         best[i] = min(costs)
     return best[0]
@@ -126,8 +136,8 @@ def test_long_values_are_segmented_whole():
     assert abs(secrets.segment("1" * 1000)[0] - 4) < 1e-9 and secrets.segment("1" * 1000)[1] == [("repeat", 0, 1000)]
     assert secrets.segment("qwertyuiop" * 60)[0] < 9 and secrets.guess_spans("token: " + "1" * 1000) == []
     r = random.Random(9)
-    for k in range(600):
-        bits = r.choice([["1", "2", "12", "qw", "we", "a", "Q"], ["pass", "word", "a", "1", "!"], list("qwertyQWE"), list("ab"), ["pwd=", "1", "token"]])
+    for k in range(900):
+        bits = r.choice([["1", "2", "12", "qw", "we", "a", "Q"], ["pass", "word", "a", "1", "!"], list("qwertyQWE"), list("ab"), ["pwd=", "1", "token"], ["20", "12", "19", "-", "05"], ["1987", "2012-05-17", "31.12.1999", "pass", "2", "a"], ["20122012", "20", "12", "qw", "admin", "a", "aa"]])
         v = "".join(r.choice(bits) for _ in range(120 if k < 6 else r.randint(1, 18)))
         cost, parts = secrets.segment(v * (3 if k < 6 else 1))
         assert abs(cost - least_by_hand(v * (3 if k < 6 else 1))) < 1e-6, v
@@ -164,6 +174,38 @@ def test_measures_against_plain_python():
         assert quality.measure(text.encode(), None)[:5] == measures_by_hand(text), repr(text)
 
 
+def test_repeated_words_that_polynomials_confuse():
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for text in (f"{word} q r {other} q r", f"{word} q r {other} q r {word} q r"):
+        assert quality.measure(text.encode(), None)[:5] == measures_by_hand(text)
+
+
+def test_grams_are_of_characters():
+    def tokens(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        return [len(words), max(0, len(words) - 1), max(0, len(text) - 2), max(0, len(text) - 4)]
+
+    for text in ("", "a", "été", "日本語テキスト です", "a b c d", "x" * 50, "…" * 4):
+        found = quality.hashed(text.encode(), quality.word_hashes(text.encode()))
+        assert [len(x) for x in found] == tokens(text)
+        assert all((x >> quality.BITS == i).all() for i, x in enumerate(found))
+    # one gram for each string of characters
+    three = quality.hashed("ñandú ñandú".encode(), np.zeros(0, np.uint64))[2].tolist()
+    assert three[:3] == three[6:] and len(set(three)) == 6
+
+
+def test_fit_takes_an_id_once(spark):
+    """Documents that repeat an id don't add to what is fitted: the least text of each id counts."""
+    good, bad = "plain words stand here and there often " * 12, "#### $$$ %%% buy!! now!! " * 12
+    rows = [(i, f"{good if i % 2 else bad} w{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = quality.train(spark.createDataFrame(rows + rows[:1] * 500 + [(3, "~ later text"), (None, "x")], "doc_id long, text string").repartition(5), labels)
+    assert np.array_equal(one.weights, many.weights) and (one.bias, one.slope, one.offset) == (many.bias, many.slope, many.offset)
+    assert quality.train(spark.createDataFrame([], "doc_id long, text string"), labels) is None
+
+
 def test_quality_rows_and_missing_classes(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int")
     rows = by_id(quality.score_quality(edge, none))
@@ -259,6 +301,55 @@ def test_fuzzy_notices_are_found_within_their_edits():
         assert edits(licenses.NOTICES[n][0], "under the gnu genral public licence here"[s:e]) <= k <= licenses.NOTICES[n][2]
 
 
+def places_by_edits(text, notices):
+    """(notice, start, end) of all stretches of whole words within the notice's edits."""
+    starts = [0, *(i + 1 for i, c in enumerate(text) if c == " ")]
+    ends = [*(i for i, c in enumerate(text) if c == " "), len(text)]
+    return [(n, s, e) for n, (notice, _, most) in enumerate(notices) for s in starts for e in ends if abs(e - s - len(notice)) <= most and edits(notice, text[s:e]) <= most]
+
+
+def test_fuzzy_places_against_all_stretches_of_words():
+    r = random.Random(15)
+    notices = (("mozilla public license", "mpl", 2), ("all rights reserved", "arr", 1), ("cc0 1 0 universal", "cc0", 1), ("public license", "pl", 3))
+    bits = [w for text, *_ in notices for w in text.split()] + ["a", "é", "licensed", "licenseabcdef", "x"]
+    found_any = 0
+    for _ in range(500):
+        text = " ".join(r.choice([r.choice(bits), notices[r.randrange(4)][0]]) for _ in range(r.randint(1, 6)))
+        changed = list(text)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(changed)) if changed else 0
+            changed[k : k + 1] = r.choice([[], ["q"], ["s", "z"], [" "]])
+        text = " ".join("".join(changed).split())
+        found, want = licenses.fuzzy_notices(text, notices), places_by_edits(text, notices)
+        for n, s, e, k in found:
+            assert (n, s, e) in want and edits(notices[n][0], text[s:e]) <= k <= notices[n][2], text
+        for n, s, e in want:
+            assert any(m == n and a < e and s < b for m, a, b, _ in found), (text, n, text[s:e])
+        for n in range(4):
+            mine = [(s, e) for m, s, e, _ in found if m == n]
+            assert mine == sorted(mine) and all(a[1] <= b[0] for a, b in zip(mine, mine[1:], strict=False))
+        found_any += bool(found)
+    assert found_any > 200
+    assert licenses.fuzzy_notices("x mozilla public licenseabcdef y", notices[:1]) == []
+    assert licenses.fuzzy_notices("mozilla public license", notices[:1]) == [(0, 0, 22, 0)]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def took(text):
+        best = 9.0
+        for _ in range(3):
+            begun = time.process_time()
+            n, base, fuzzy = licenses.scan(text)
+            best = min(best, time.process_time() - begun)
+        return best, n, len(base), len(fuzzy)
+
+    half, whole = (took(b"cc by all rights reserved " * n) for n in (10_000, 20_000))
+    assert half[1:] == (50_000, 10_000, 10_000) and whole[1:] == (100_000, 20_000, 20_000)
+    assert whole[0] < 3.2 * half[0]
+
+
 def test_license_rows(edge):
     rows = by_id(licenses.scan_licenses(edge))
     assert [r[1] for r in rows] == [places_by_hand(t)[0] for _, t, *_ in sorted(EDGE, key=lambda r: (r[0] is None, r[0] or 0))]
