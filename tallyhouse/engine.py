@@ -39,11 +39,12 @@ class Engine:
     """Tables of a store, and what can be asked of them.
 
     Answers are DataFrames whose plans are declared when sql() returns; they run when they are read.
-    Statements that change something run at once and give one row.
+    Statements that change something run at once and give one row. With ordered, rows that no ORDER BY
+    sorts come by record or by group, at the price of a global sort; without, in any order.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str | None = None, ordered: bool = False):
+        self.spark, self.ordered = spark, ordered
         self.store = Store(spark, root)
         self.running: dict[str, str] = {}
         self.depth = 0
@@ -72,13 +73,15 @@ class Engine:
             inner = Selecting(self, replace(s, limit=None))
             rows = inner.records()
             if len(s.items) == 1 and isinstance(s.items[0].expr, Star):
-                return Source(rows, inner.source.fields, inner.source.has_ids)
-            columns, fields = [], []
+                return Source(rows, inner.source.fields, inner.source.has_ids, inner.source.days)
+            columns, fields, olds = [], [], []
             for i in s.items:
                 c, f = inner.resolve(i.expr)
+                olds.append(f)
                 columns.append(c.alias(i.alias or f.name))
                 fields.append(replace(f, name=i.alias or f.name))
-            return Source(rows.select(*([F.col(ID)] if inner.source.has_ids else []), *columns), fields, inner.source.has_ids)
+            days = {f.name: inner.source.days[old.name] for f, old in zip(fields, olds, strict=True) if old.name in inner.source.days}
+            return Source(rows.select(*([F.col(ID)] if inner.source.has_ids else []), *columns), fields, inner.source.has_ids, days)
         finally:
             self.depth -= 1
 
@@ -124,7 +127,10 @@ class Engine:
                         shard = F.shiftright(F.col(ID), SHARD_BITS).alias("shard")
                         counts = self.store.frame(x).groupBy(shard).agg(*[F.count(F.col(f"`{f.name}`")).alias(f"f{k}") for k, f in enumerate(x.fields)])
                         pairs = F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), F.col(f"f{k}").alias("count")) for k, f in enumerate(x.fields)]))
-                        parts.append(counts.select("shard", pairs.alias("p")).select(F.lit("spark").alias("node"), F.lit(d).alias("database"), F.lit(t).alias("table"), "p.field", F.lit("standard").alias("view"), "shard", "p.count"))
+                        standard = counts.select("shard", pairs.alias("p")).select("p.field", F.lit("standard").alias("view"), "shard", "p.count")
+                        # of a time quantum, a view for each day beside the one of all keys
+                        views = [standard] + [days.groupBy(shard, "day").agg(F.countDistinct(ID).alias("count")).select(F.lit(f).alias("field"), F.date_format("day", "'standard_'yyyyMMdd").alias("view"), "shard", "count") for f, days in self.store.days(x).items()]
+                        parts += [v.select(F.lit("spark").alias("node"), F.lit(d).alias("database"), F.lit(t).alias("table"), "field", "view", "shard", "count") for v in views]
             if parts:
                 return reduce(DataFrame.unionByName, parts)
         return self.spark.createDataFrame(rows, SYSTEM[what])
@@ -227,6 +233,10 @@ class Engine:
     def import_facts(self, table: str, path: str) -> int:
         return facts.import_files(self.store, table, path)
 
+    def load_facts(self, table: str, path: str, name: str, chunk_bytes: int = facts.CHUNK_BYTES) -> int:
+        """Import the files of a folder in chunks, from where the load of this name stopped last; how many facts came this time."""
+        return facts.load_files(self.store, table, path, name, chunk_bytes)
+
     def delete_ids(self, table: str, ids: DataFrame) -> int:
         return writes.delete_ids(self.store, table, ids)
 
@@ -338,6 +348,8 @@ class Engine:
                 if any(f.name.lower() == x.name.lower() for f in t.fields):
                     raise Refused("field_exists", x.name)
                 t.fields.append(x)
+                if x.kind == "timequantum" and t.parts:
+                    self.store.replace(name, self.store.frame(t))  # so that each part has its days
                 n += 1
             elif what == "drop":
                 f = writes.field_named(t, x)
@@ -472,11 +484,11 @@ class _Dry:
     """A catalog whose tables have their fields but no records, to check a query without reading anything."""
 
     def __init__(self, engine: Engine):
-        self.engine, self.spark = engine, engine.spark
+        self.engine, self.spark, self.ordered = engine, engine.spark, engine.ordered
 
     def source(self, name: str) -> Source:
         own = self.engine.source(name)
-        return Source(own.frame.limit(0), own.fields, own.has_ids)
+        return Source(own.frame.limit(0), own.fields, own.has_ids, {f: x.limit(0) for f, x in own.days.items()})
 
     def view_condition(self, view: str, table: str) -> Any:
         return self.engine.view_condition(view, table)

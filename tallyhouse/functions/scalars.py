@@ -425,11 +425,11 @@ class Scalars:
         raw = F.get_json_object(doc, f"$['{key}']")
         if what == "raw":
             return Typed(raw, "text")
-        # malformed documents have no members; a member's own type decides, so quoted numbers are no numbers
-        member = F.try_variant_get(F.try_parse_json(doc), f"$['{key}']", "variant")
-        kind = F.schema_of_variant(member)
+        # malformed documents have no members, and of doubled keys the first counts; a member's own type decides, so
+        # quoted numbers are no numbers: among the members of a list, strings keep their quotes
+        quoted = F.when(F.json_object_keys(doc).isNotNull(), F.get_json_object(F.concat(F.lit("["), doc, F.lit("]")), f"$[*]['{key}']"))
         if what == "string":
-            return Typed(F.when(kind == "STRING", raw), "text")
+            return Typed(F.when(quoted.startswith('"'), raw), "text")
         if what == "int":
-            return Typed(F.when(kind == "BIGINT", raw.try_cast("bigint")), "number")
-        return Typed(F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), raw.try_cast("double")), "number")
+            return Typed(F.when(quoted.rlike(r"^-?[0-9]+$"), raw.try_cast("bigint")), "number")
+        return Typed(F.when(quoted.rlike(r"^-?[0-9]"), raw.try_cast("double")), "number")

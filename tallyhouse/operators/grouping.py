@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 from functools import reduce
 
@@ -100,13 +100,29 @@ def exact_quantile(df: DataFrame, column: str, level: Decimal) -> object:
             below += under
 
 
+#: How far the bracket of a group's quantile reaches to both sides, and the ranks that its sketch tells apart.
+REACH, SKETCH = 0.001, 10_000
+
+
 def group_quantile(rows: DataFrame, m: Measure, by: list[str]) -> DataFrame:
-    """by and m's quantile of each group: running totals over the counts of its values."""
-    counts = rows.select(*by, m.of.alias("v_")).where("v_ is not null").groupBy(*by, "v_").agg(F.count(F.lit(1)).alias("c_"))
-    of = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto_", F.sum("c_").over(of.orderBy("v_"))).withColumn("n_", F.sum("c_").over(of))
+    """by and m's quantile of each group, without sorting a whole group in one task.
+
+    A sketch gives each group a bracket of two values around the rank. The counts of values below it are
+    summed, and only the values inside it are put in order; where the rank turns out to lie outside, all of
+    the group's are.
+    """
+    present = rows.select(*by, m.of.alias("v_")).where("v_ is not null")
+    level = float(m.level)
+    ends = F.percentile_approx("v_", F.array(F.lit(max(0.0, level - REACH)), F.lit(min(1.0, level + REACH))), F.lit(SKETCH))
+    brackets = present.groupBy(*by).agg(ends.alias("e_"), F.count(F.lit(1)).alias("n_"))
+    counts = present.groupBy(*by, "v_").agg(F.count(F.lit(1)).alias("c_")).join(brackets, by)
+    low, high = F.col("e_")[0], F.col("e_")[1]
     rank = F.greatest(F.ceil(F.lit(Decimal(m.level)) * F.col("n_")), F.lit(1))
-    return ranked.where(F.col("upto_") >= rank).groupBy(*by).agg(F.min("v_").alias(m.name))
+    sums = counts.groupBy(*by).agg(F.sum(F.when(F.col("v_") < low, F.col("c_")).otherwise(0)).alias("below_"), F.sum(F.when(F.col("v_") <= high, F.col("c_")).otherwise(0)).alias("within_"))
+    held = (F.col("below_") < rank) & (rank <= F.col("within_"))
+    near = counts.join(sums, by).where(~held | F.col("v_").between(low, high))
+    upto = F.sum("c_").over(Window.partitionBy(*by).orderBy("v_")) + F.when(held, F.col("below_")).otherwise(0)
+    return near.withColumn("upto_", upto).where(F.col("upto_") >= rank).groupBy(*by).agg(F.min("v_").alias(m.name))
 
 
 def single(measures: list[Measure]) -> tuple[list[Measure], list[Measure]]:
@@ -178,7 +194,8 @@ def grouping_sets(df: DataFrame, keys: list[tuple[str, Column, Field | None]], s
     """The groups of each set, with null for the keys that it leaves out, and the set's number in column inner.
 
     Single-valued keys go through Spark's own grouping sets, in one pass. The empty set's row exists over
-    no records too, which Spark's doesn't, and takes in records without the keys.
+    no records too, which Spark's doesn't, and takes in records without the keys; for that a row goes along
+    that no measure takes in, and that has no key.
     """
     names = [n for n, _, _ in keys]
     kinds = grouped(df.limit(0), keys, []).schema
@@ -187,18 +204,24 @@ def grouping_sets(df: DataFrame, keys: list[tuple[str, Column, Field | None]], s
     one_pass = not apart and not any(f is not None and f.multiple for _, _, f in keys)
     some = [s for s in sets if s]
     if one_pass and len(some) > 1:
+        for m in measures:
+            if m.what not in ("count", "uniq"):
+                m.check()
         rows = df
         for name, column, _ in keys:
             rows = rows.withColumn(name, column)
+        chosen = some
+        if len(some) < len(sets):
+            chosen = sets
+            none = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema], F.lit(True).alias("none_"))
+            rows = rows.withColumn("none_", F.lit(False)).unionByName(none)
+            measures = [replace(m, where=~F.col("none_") if m.where is None else ~F.col("none_") & m.where) for m in measures]
         # a set leaves out only records that lack one of its own keys
-        tagged = rows.groupingSets([[names[i] for i in s] for s in some], *names).agg(F.grouping_id().alias("gid_"), *[m.spark().alias(m.name) for m in measures])
-        number = {sum(1 << (len(names) - 1 - i) for i in range(len(names)) if i not in s): k for k, s in enumerate(sets) if s}
+        tagged = rows.groupingSets([[names[i] for i in s] for s in chosen], *names).agg(F.grouping_id().alias("gid_"), *[m.spark().alias(m.name) for m in measures])
+        number = {sum(1 << (len(names) - 1 - i) for i in range(len(names)) if i not in s): k for k, s in enumerate(sets)}
         pick = F.coalesce(*[F.when(F.col("gid_") == g, F.lit(k)) for g, k in number.items()])
-        present = reduce(lambda a, b: a | b, [(F.col("gid_") == g) & reduce(lambda a, b: a & b, [F.col(names[i]).isNotNull() for i in sets[k]]) for g, k in number.items()])
-        parts.append(tagged.where(present).select(pick.alias(inner), *names, *[m.name for m in measures]))
-        for m in measures:
-            if m.what not in ("count", "uniq"):
-                m.check()
+        present = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(names[i]).isNotNull() for i in sets[k]], F.col("gid_") == g) for g, k in number.items()])
+        return tagged.where(present).select(pick.alias(inner), *names, *[m.name for m in measures])
     else:
         for k, s in enumerate(sets):
             if s:

@@ -46,10 +46,10 @@ def conjuncts(e: Any) -> list[Any]:
 
 
 class Predicates:
-    """resolve: Col -> (column, Field); segment: view -> its condition; member: (field's column, InSelect) -> a column that is true for members."""
+    """resolve: Col -> (column, Field); segment: view -> its condition; member: (field's column, InSelect) -> a column that is true for members; within_days: (time quantum, key, first and last day) -> a column that is true for records that have the key on one of these days, or None."""
 
-    def __init__(self, resolve: Callable[[Col], tuple[Column, Field]], segment: Callable[[str], Any] | None = None, member: Callable[[Column, InSelect], Column] | None = None):
-        self.resolve, self.segment, self.member = resolve, segment, member
+    def __init__(self, resolve: Callable[[Col], tuple[Column, Field]], segment: Callable[[str], Any] | None = None, member: Callable[[Column, InSelect], Column] | None = None, within_days: Callable[[Field, str, dt.date | None, dt.date | None], Column | None] | None = None):
+        self.resolve, self.segment, self.member, self.within_days = resolve, segment, member, within_days
 
     def holds(self, e: Any) -> Column:
         """Null or false where the condition doesn't hold."""
@@ -214,11 +214,13 @@ class Predicates:
             if col not in bounds:
                 rest.append(Bin("=", col, Lit(key)))
                 continue
-            c, _ = self.resolve(col)
+            c, f = self.resolve(col)
             low = max((day(s) for op, s in bounds[col] if op == ">"), default=None)
             high = min((day(s) for op, s in bounds[col] if op == "<"), default=None)
 
-            own = F.exists(c, in_days(key, low, high))
+            own = self.within_days(f, key, low, high) if self.within_days else None
+            if own is None:
+                own = F.exists(c, in_days(key, low, high))
             out = own if out is None else out & own
         return out, rest
 

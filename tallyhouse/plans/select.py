@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, Protocol
 
@@ -25,11 +26,12 @@ ID = "_record_id"
 
 @dataclass
 class Source:
-    """A table as it is read: its records with their ids, and its fields in order."""
+    """A table as it is read: its records with their ids, and its fields in order; days: of a time quantum, its key, day and record id, partitioned by day."""
 
     frame: DataFrame
     fields: list[Field]
     has_ids: bool = True
+    days: dict[str, DataFrame] = field(default_factory=dict)
 
     def field(self, name: str) -> Field:
         for f in self.fields:
@@ -42,6 +44,7 @@ class Source:
 
 class Catalog(Protocol):
     spark: SparkSession
+    ordered: bool
 
     def source(self, name: str) -> Source: ...
 
@@ -106,7 +109,7 @@ class Selecting:
         self.source = catalog.source(select.table)
         self.extra: list[DataFrame] = []
         self.frame = self.source.frame
-        self.predicates = Predicates(self.resolve, lambda view: catalog.view_condition(view, select.table), self.member)
+        self.predicates = Predicates(self.resolve, lambda view: catalog.view_condition(view, select.table), self.member, self.within_days)
         self.scalars = Scalars(self.resolve)
         self.flags = 0
 
@@ -125,10 +128,26 @@ class Selecting:
         """Inside a larger condition a membership is a column of its own, from a left join on the distinct ids."""
         self.flags += 1
         name = f"in{self.flags}_"
-        ids = self.ids(e).select(F.col("member_").alias(f"{name}id"), F.lit(True).alias(name))
+        ids = self.ids(e).select(F.col("member_").alias(f"{name}id")).distinct().withColumn(name, F.lit(True))
         self.frame = self.frame.join(ids, column == F.col(f"{name}id"), "left").drop(f"{name}id")
         return F.coalesce(F.col(name), F.lit(False))
 
+    def within_days(self, f: Field, key: str, low: dt.date | None, high: dt.date | None) -> Column | None:
+        """Whether a record has a time quantum's key on a day from low to high, by the table's rows for each day, of which only those days are read; None if it has no such rows."""
+        days = self.source.days.get(f.name)
+        if days is None:
+            return None
+        self.flags += 1
+        name = f"day{self.flags}_"
+        ids = days.where(F.col("key") == key)
+        if low is not None:
+            ids = ids.where(F.col("day") >= F.lit(low))
+        if high is not None:
+            ids = ids.where(F.col("day") <= F.lit(high))
+        ids = ids.select(F.col(ID).alias(f"{name}id")).distinct().withColumn(name, F.lit(True))
+        self.frame = self.frame.join(ids, F.col(ID) == F.col(f"{name}id"), "left").drop(f"{name}id")
+        return F.coalesce(F.col(name), F.lit(False))
+
     def records(self) -> DataFrame:
         s = self.select
         rest = []
@@ -321,7 +340,8 @@ class Selecting:
             by = ["set_", *[F.col(n).asc_nulls_last() for n, _, _ in keys]]
             if test is not None:
                 out = out.where(test)
-            return out.orderBy(*by).select(*[self.after(e, named).alias(n) for e, n in zip(swapped, names, strict=False)]), self.shown()
+            out = out.orderBy(*by) if self.catalog.ordered else out
+            return out.select(*[self.after(e, named).alias(n) for e, n in zip(swapped, names, strict=False)]), self.shown()
         out = grouped(rows, keys, measures)
         if test is not None:
             out = out.where(test)
@@ -344,8 +364,10 @@ class Selecting:
         raise Refused("sql_unsupported_order", "a key or an aggregate of the select list")
 
     def cut(self, out: DataFrame, by: list[Column], key: Column | None = None) -> DataFrame:
-        """Order, then skip, then take, with the ties of the last row taken if asked for; key is what the first ordering compares."""
+        """Order, then skip, then take, with the ties of the last row taken if asked for; key is what the first ordering compares. What the statement doesn't order is sorted for a catalog with ordered answers only."""
         s = self.select
+        if not (s.order or s.offset or s.ties or s.limit is not None or self.catalog.ordered):
+            return out
         ranked = out.orderBy(*by)
         if s.ties and s.limit:
             # one row sets the value up to which rows are kept; none, or one without a value, keeps all
@@ -392,10 +414,8 @@ class Selecting:
                 raise Refused("sql_unsupported_order", "ORDER BY names an output column")
             key = c = F.col(names[at])
             by = [c.desc_nulls_last() if s.order[0].descending else c.asc_nulls_last(), *by]
-        if by and (s.limit is not None or s.ties):
+        if by:
             out = self.cut(out, by, key)
-        elif by:
-            out = out.orderBy(*by)
         elif s.limit is not None:
             out = out.limit(s.limit)
         return out.select(*names), shown
@@ -409,7 +429,7 @@ def numbers(spark: SparkSession, s: Select) -> tuple[DataFrame, list[str]]:
 
 
 def compile_query(catalog: Catalog, query: Query) -> DataFrame:
-    """The rows of a query; the branches of a UNION ALL come one after the other, under the names of the first."""
+    """The rows of a query; the branches of a UNION ALL under the names of the first, and one after the other for a catalog with ordered answers."""
     parts = []
     for s in query.branches:
         if s.numbers is not None:
@@ -423,6 +443,8 @@ def compile_query(catalog: Catalog, query: Query) -> DataFrame:
         raise Refused("sql_union", "branches of one width")
     if len(parts) == 1:
         out = parts[0][0]
+    elif not catalog.ordered:
+        out = reduce(DataFrame.union, [f for f, _ in parts])
     else:
         own = [f.withColumn("branch_", F.lit(k)).withColumn("place_", F.monotonically_increasing_id()) for k, (f, _) in enumerate(parts)]
         out = reduce(DataFrame.union, own).orderBy("branch_", "place_").drop("branch_", "place_")

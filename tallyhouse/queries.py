@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.engine import Engine
+from tallyhouse.refusal import Refused
 
 TABLES = {"region": None, "nation": None, "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
 
@@ -17,6 +18,8 @@ TABLES = {"region": None, "nation": None, "customer": "c_custkey", "supplier": "
 def folder(spark: SparkSession) -> str:
     """Where managed tables of a query go: the shared checkpoint folder, or a temporary one in local runs without it."""
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{there.rstrip('/')}/engine-{uuid.uuid4().hex}" if there else tempfile.mkdtemp(prefix="engine-")
 
 
@@ -26,7 +29,7 @@ def engine(spark: SparkSession, sf_dir: str, *names: str, managed: bool = False)
     for name in names or TABLES:
         frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name == "orders":
-            frame = frame.withColumn("o_day", F.to_date("o_orderdate")).withColumn("o_price", F.col("o_totalprice").cast("decimal(12,2)")).withColumn("o_custkey", F.col("o_custkey").cast("long"))
+            frame = frame.withColumn("o_day", F.to_date("o_orderdate")).withColumn("o_price", F.col("o_totalprice").cast("decimal(12,2)")).withColumn("o_custkey", F.col("o_custkey").cast("long")).withColumn("urgent", F.col("o_orderpriority") == "1-URGENT")
         if name == "events":
             frame = frame.withColumn("cents", F.col("value").cast("decimal(18,2)")).withColumn("day", F.to_date("ts"))
         e.attach(name, frame, TABLES.get(name))
@@ -119,6 +122,14 @@ SQL: dict[str, tuple[str, str]] = {
     "project_star": ("SELECT * FROM nation", "SELECT * FROM nation"),
     "record_ids": ("SELECT _record_id FROM orders WHERE o_totalprice > 300000", "SELECT o_orderkey AS _record_id FROM orders WHERE o_totalprice > 300000"),
     "numbers": ("SELECT number FROM numbers(100)", "SELECT range AS number FROM range(100)"),
+    "bool_equality": ("SELECT count(*) AS n, countIf(urgent = false) AS rest FROM orders WHERE urgent = true OR NOT urgent", "SELECT count(*) AS n, count(*) FILTER (o_orderpriority <> '1-URGENT') AS rest FROM orders"),
+    "now_literal": ("SELECT count(*) AS n, countIf(day > now()) AS later FROM events WHERE ts <= now()", "SELECT count(*) AS n, count(*) FILTER (CAST(ts AS DATE) > current_date) AS later FROM events WHERE ts <= now()::TIMESTAMP"),
+    "distinct_bucket": ("SELECT DISTINCT date_trunc('quarter', o_day) AS q FROM orders", "SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q FROM orders"),
+    "join_no_shared_key": ("SELECT count(*) AS n, sum(c.c_custkey) AS ids FROM customer c JOIN part p ON c.c_mktsegment = p.p_brand", "SELECT count(*) AS n, CAST(coalesce(sum(c_custkey), 0) AS BIGINT) AS ids FROM customer JOIN part ON c_mktsegment = p_brand"),
+    "window_after_where": ("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY cents DESC) AS v FROM events WHERE value >= 50 ORDER BY event_id LIMIT 40", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY CAST(value AS DECIMAL(18,2)) DESC, event_id) AS INTEGER) AS v FROM events WHERE value >= 50 ORDER BY event_id LIMIT 40"),
+    "having_order_offset_ties": ("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 1 ORDER BY count(*) DESC LIMIT 3 OFFSET 2 WITH TIES", "SELECT p_brand, n FROM (SELECT p_brand, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY p_brand HAVING count(*) > 1) WHERE k > 2 AND r <= 5"),
+    "scalar_more": ("SELECT event_id, -user_id AS a, lower(upper(event_type)) AS b, ltrim(concat('  ', event_type)) AS c, rtrim(concat(event_type, '  ')) AS d, ifNull(nullIf(event_type, 'click'), 'none') AS e, round(log2(value + 1), 6) AS f, -(cents - 1) AS g, NOT value > 50 AS h FROM events", "SELECT event_id, -user_id AS a, event_type AS b, event_type AS c, event_type AS d, coalesce(nullif(event_type, 'click'), 'none') AS e, round(log2(value + 1), 6) AS f, -(CAST(value AS DECIMAL(18,2)) - 1) AS g, CAST(NOT value > 50 AS INTEGER) AS h FROM events"),
+    "group_quantile_levels": ("SELECT o_orderpriority, quantile(0.1)(o_price) AS low, quantile(0.95)(o_price) AS high FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, quantile_disc(CAST(o_totalprice AS DECIMAL(12,2)), 0.1) AS low, quantile_disc(CAST(o_totalprice AS DECIMAL(12,2)), 0.95) AS high FROM orders GROUP BY 1"),
     "constants": ("WITH 'click' AS kind, 20 AS low SELECT count(*) AS n FROM events WHERE event_type = kind AND value >= low", "SELECT count(*) AS n FROM events WHERE event_type = 'click' AND value >= 20"),
 }
 
@@ -250,7 +261,256 @@ def watch_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed(spark, sf_dir)
 
 
+def member_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A membership beside another condition, in a table whose record ids repeat: each record counts once."""
+    e = engine(spark, sf_dir, "customer")
+    e.attach("bought", spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_custkey", F.col("o_custkey").cast("long")), "o_custkey")
+    return e.sql("SELECT count(*) AS n, sum(c_custkey) AS ids FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey IN (SELECT _record_id FROM bought WHERE o_totalprice > 100000)")
+
+
+def multi_valued_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visits(spark, sf_dir).sql("SELECT _record_id, types, n_events FROM users WHERE types = 'view'")
+
+
+def regions(spark: SparkSession, sf_dir: str) -> Engine:
+    """A managed table of regions, written by INSERT … VALUES, with a column of several keys."""
+    e = Engine(spark, folder(spark))
+    e.sql("CREATE TABLE areas (name MUTEX, size UINT(32), tags SET)")
+    e.sql("INSERT INTO areas (name, size, tags) VALUES ('north', 10, 'cold'), ('south', 25, 'warm'), ('west', 7, 'wet')")
+    return e
+
+
+def insert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = regions(spark, sf_dir)
+    e.sql("INSERT INTO areas (_record_id, size, tags) VALUES (2, 26, 'dry'), (9, 3, 'far')")
+    e.sql("INSERT INTO areas (name) VALUES ('last')")
+    return e.sql("SELECT _record_id, name, size, tags FROM areas")
+
+
+def insert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = managed_events(spark, sf_dir)
+    e.sql("CREATE TABLE dear (price DECIMAL(12, 2), status MUTEX)")
+    for low in (100000, 300000):
+        e.sql(f"INSERT OVERWRITE TABLE dear (price, status) SELECT price, status FROM own WHERE price > {low}")
+    return e.sql("SELECT status, count(*) AS n, sum(price) AS total, max(price) AS top FROM dear GROUP BY status")
+
+
+def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = regions(spark, sf_dir)
+    gone = e.delete_ids("areas", spark.createDataFrame([(1,), (3,), (3,), (50,)], "id long"))
+    return e.sql("SELECT _record_id, name FROM areas").withColumn("gone", F.lit(gone).cast("long"))
+
+
+def record_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "orders")
+    return e.records("orders", after=100, limit=50)
+
+
+def alter_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = regions(spark, sf_dir)
+    e.sql("ALTER TABLE areas ADD COLUMN rank SIGNED(16)")
+    e.sql("INSERT INTO areas (_record_id, rank) VALUES (1, -5)")
+    e.sql("ALTER TABLE areas DROP COLUMN tags")
+    return e.sql("SELECT * FROM areas")
+
+
+def rename_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = regions(spark, sf_dir)
+    e.sql("CREATE TABLE empty (size UINT(8))")
+    e.sql("ALTER TABLE areas RENAME TO places")
+    e.sql("EXCHANGE TABLES places AND empty")
+    e.sql("CREATE TABLE gone (a SET)")
+    e.sql("DROP TABLE gone")
+    return e.sql("SELECT count(*) AS n, sum(size) AS total FROM empty UNION ALL SELECT count(*), sum(size) FROM places")
+
+
+def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = regions(spark, sf_dir)
+    e.sql("TRUNCATE TABLE areas")
+    e.sql("INSERT INTO areas (name) VALUES ('first again')")
+    return e.sql("SELECT _record_id, name, size FROM areas")
+
+
+def drop_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits of a managed table by day, after the days before the 8th are gone: the windows' counts, and that of the key."""
+    from tallyhouse.sources.facts import import_facts
+
+    e = Engine(spark, folder(spark))
+    e.sql("CREATE TABLE seen (visit TIMEQUANTUM)")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    import_facts(e.store, "seen", events.select(F.concat_ws(" ", F.lit("visit"), "user_id", F.concat("event_type", F.lit("@"), F.unix_timestamp("ts"))).alias("value")))
+    e.sql("ALTER TABLE seen DROP DAYS BEFORE '2024-01-08' ON visit")
+    counts = ["visit = 'click'", "visit = 'click' AND visit <= 1704844799", "visit = 'click' AND visit BETWEEN 1704672000 AND 1704758399", "NOT (visit = 'click' AND visit >= 1704067200)"]
+    return e.sql(" UNION ALL ".join(f"SELECT count(*) AS n FROM seen WHERE {c}" for c in counts))
+
+
+def databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of two databases: one name in both, a join across them, and what is left when one goes."""
+    e = regions(spark, sf_dir)
+    e.sql("CREATE DATABASE other")
+    e.sql("CREATE TABLE other.areas (name MUTEX, size UINT(32))")
+    e.sql("INSERT INTO other.areas (name, size) VALUES ('north', 1), ('north', 2), ('east', 3)")
+    joined = e.sql("SELECT count(*) AS n, sum(b.size) AS total FROM areas a JOIN other.areas b ON a.name = b.name").collect()[0]
+    own = e.sql("SELECT count(*) AS n, sum(size) AS total FROM areas", database="other").collect()[0]
+    e.sql("CREATE DATABASE spare")
+    e.sql("DROP DATABASE other CASCADE")
+    left = e.sql("SHOW DATABASES").collect()
+    return spark.createDataFrame([("joined", joined.n, joined.total), ("own", own.n, own.total), *((r.name, r.tables, None) for r in left)], "what string, n long, total long")
+
+
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SHOW and DESCRIBE tell of a table, its fields, views and statement."""
+    e = regions(spark, sf_dir)
+    e.sql("CREATE VIEW cold AS SELECT name FROM areas WHERE tags = 'cold'")
+    rows = [("table", r.name, str(r.fields)) for r in e.sql("SHOW TABLES").collect()]
+    rows += [("column", r.name, r.kind) for r in e.sql("DESCRIBE TABLE areas").collect()] + [("view", r.name, r.statement) for r in e.sql("SHOW VIEWS").collect()]
+    rows += [("create", "areas", " ".join(e.sql("SHOW CREATE TABLE areas").first()[0].split()))]
+    return spark.createDataFrame(rows, "what string, name string, of string")
+
+
+def system_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = regions(spark, sf_dir)
+    e.sql("CREATE VIEW cold AS SELECT name FROM areas WHERE tags = 'cold'")
+    parts = [e.sql(f"SELECT {c} FROM system.{t} WHERE {w}") for c, t, w in (("name, type", "tables", "database = 'default'"), ("name, kind", "columns", "table = 'areas'"), ("name, name", "databases", "database = 'default'"))]
+    return parts[0].toDF("name", "of").union(parts[1].toDF("name", "of")).union(parts[2].toDF("name", "of"))
+
+
+def system_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = regions(spark, sf_dir)
+    e.sql("INSERT INTO areas (_record_id, size) VALUES (1048577, 5)")
+    return e.sql("SELECT field, view, shard, count FROM system.parts WHERE table = 'areas'")
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, "events").sql("EXPLAIN SELECT count(*) FROM events WHERE value >= 5 AND NOT event_type = 'view'")
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that aren't answered, and their codes."""
+    e = regions(spark, sf_dir)
+    e.sql("CREATE ROLE guest")
+    e.sql("GRANT SELECT ON areas TO guest")
+    rows = []
+    for name, text, role in (
+        ("role may read", "SELECT count(*) FROM areas", "guest"), ("role may not write", "TRUNCATE TABLE areas", "guest"), ("set operation", "SELECT name FROM areas UNION SELECT name FROM areas", None), ("no table", "SELECT count(*) FROM seas", None),
+        ("too many rows", "SELECT name FROM areas SETTINGS max_result_rows = 2", None), ("too many deletes", "DELETE FROM areas WHERE size > 0 SETTINGS max_delete_records = 2", None), ("full", "INSERT INTO areas (size) VALUES (-1)", None),
+    ):
+        try:
+            e.sql(text, role=role).collect()
+            rows.append((name, "answered"))
+        except Refused as x:
+            rows.append((name, x.code))
+    e.sql("REVOKE SELECT ON areas FROM guest")
+    try:
+        e.sql("SELECT count(*) FROM areas", role="guest")
+    except Refused as x:
+        rows.append(("revoked", x.code))
+    rows += [("kill", str(e.sql("KILL QUERY 'nobody'").first()[0])), ("roles", ",".join(r[0] for r in e.sql("SHOW ROLES").collect()))]
+    return spark.createDataFrame(rows, "what string, code string")
+
+
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer in each output format."""
+    e = engine(spark, sf_dir, "region")
+    names = ("CSV", "CSVWithNames", "TSV", "TabSeparated", "TSVWithNames", "TabSeparatedWithNames", "JSON", "JSONCompact")
+    return spark.createDataFrame([(f, e.render(f"SELECT r_regionkey, r_name FROM region WHERE r_name LIKE 'A%' ORDER BY r_regionkey LIMIT 3 FORMAT {f}")) for f in names], "format string, body string")
+
+
+def bound_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement through the client interface, with values bound by name."""
+    from tallyhouse import dbapi
+
+    with dbapi.connect(engine(spark, sf_dir, "events")) as c:
+        rows = c.cursor().execute("SELECT event_type, count(*) AS n FROM events WHERE value >= %(low)s AND NOT event_type = %(but)s GROUP BY event_type", {"but": "view", "low": 20}).fetchall()
+    return spark.createDataFrame(rows, "event_type string, n long")
+
+
+def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after compaction, from a backup of its store."""
+    e = managed_events(spark, sf_dir)
+    e.sql("DELETE FROM own WHERE status = 'P'")
+    e.compact("own")
+    e.store.vacuum("own")
+    copy = folder(spark)
+    e.backup(copy)
+    e.sql("TRUNCATE TABLE own")
+    return Engine(spark, copy).sql("SELECT status, count(*) AS n, sum(price) AS total FROM own GROUP BY status")
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts in files, loaded in chunks in two goes; the last line of a record's field holds."""
+    e = Engine(spark, folder(spark))
+    e.sql("CREATE TABLE lastly (kind MUTEX, user UINT(32))")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 3000")
+    lines = events.select("event_id", F.expr("event_id div 500").alias("file"), F.explode(F.array(F.concat_ws(" ", F.lit("kind"), "user_id", "event_type"), F.concat_ws(" ", F.lit("user"), "user_id", "user_id"))).alias("line"))
+    path = f"{e.store.root}/incoming"
+    for k in range(6):
+        lines.where(F.col("file") == k).coalesce(1).sortWithinPartitions("event_id").select("line").write.text(f"{path}/{k}")
+    # a load reads one folder's files by name; each of these folders holds one file
+    for k in range(6):
+        e.load_facts("lastly", f"{path}/{k}", f"part {k}", chunk_bytes=1)
+        e.load_facts("lastly", f"{path}/{k}", f"part {k}", chunk_bytes=1)
+    return e.sql("SELECT kind, count(*) AS n, sum(user) AS users FROM lastly GROUP BY kind")
+
+
+def queued_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of many callers, acknowledged one by one; a bad row keeps out its own caller's rows only."""
+    from tallyhouse.streaming.queue import WriteQueue
+
+    e = Engine(spark, folder(spark))
+    e.sql("CREATE TABLE notes (kind MUTEX, size UINT(8))")
+    with WriteQueue(e, "notes", ["kind", "size"], within=0.5) as q:
+        asked = [q.put([[f"k{i % 3}", i], [f"k{i % 2}", i + 1]]) for i in range(10)] + [q.put([["bad", 1], ["bad", 999]])]
+    failed = sum(x.exception() is not None for x in asked)
+    return e.sql("SELECT kind, count(*) AS n, sum(size) AS total FROM notes GROUP BY kind").withColumn("failed", F.lit(failed).cast("long"))
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that brings rows twice, in two runs, into a table that takes each key once."""
+    from tallyhouse.streaming.live import ingest
+
+    root = folder(spark)
+    e = Engine(spark, root)
+    e.sql("CREATE TABLE arrived (key MUTEX, kind MUTEX)")
+    source = f"{root}/incoming"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 2000").selectExpr("cast(event_id as string) AS key", "event_type AS kind")
+    for part in ("cast(key as int) < 1200", "cast(key as int) >= 800"):
+        events.where(part).write.mode("append").parquet(source)
+        ingest(e, "arrived", spark.readStream.schema(events.schema).parquet(source), f"{root}/progress", dedup="key", once=True).awaitTermination()
+    return e.sql("SELECT kind, count(*) AS n FROM arrived GROUP BY kind")
+
+
+def json_doubled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark)
+    docs = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 500").select("event_id", F.concat(F.lit('{"a": {"k": "in"}, "k": '), F.col("event_id"), F.lit(', "k": "later"}')).alias("doc"))
+    e.attach("docs", docs, "event_id")
+    return e.sql("SELECT event_id, JSONExtractInt(doc, 'k') AS a, JSONHas(doc, 'k') AS b, JSONExtractRaw(doc, 'k') AS c, JSONExtractString(doc, 'k') AS d FROM docs")
+
+
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "member_of_repeats": (member_of_repeats, "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)"),
+    "multi_valued_cells": (multi_valued_cells, "SELECT user_id AS _record_id, list(DISTINCT event_type ORDER BY event_type) AS types, count(*) AS n_events FROM events GROUP BY user_id HAVING bool_or(event_type = 'view')"),
+    "insert_values": (insert_values, "SELECT * FROM (VALUES (1::BIGINT, 'north', 10::BIGINT, ['cold']), (2, 'south', 26, ['warm', 'dry']), (3, 'west', 7, ['wet']), (9, NULL, 3, ['far']), (10, 'last', NULL, NULL)) t(_record_id, name, size, tags)"),
+    "insert_overwrite": (insert_overwrite, "SELECT o_orderstatus AS status, count(*) AS n, sum(p) AS total, max(p) AS top FROM (SELECT *, CAST(o_totalprice AS DECIMAL(12,2)) AS p FROM orders) WHERE p > 300000 GROUP BY 1"),
+    "delete_ids": (delete_ids, "SELECT 2::BIGINT AS _record_id, 'south' AS name, 2::BIGINT AS gone"),
+    "record_page": (record_page, "SELECT o_orderkey AS _record_id FROM orders WHERE o_orderkey > 100 ORDER BY 1 LIMIT 50"),
+    "alter_columns": (alter_columns, "SELECT * FROM (VALUES ('north', 10::BIGINT, -5::INTEGER), ('south', 25, NULL), ('west', 7, NULL)) t(name, size, rank)"),
+    "rename_exchange": (rename_exchange, "SELECT * FROM (VALUES (3::BIGINT, 42::BIGINT), (0, 0)) t(n, total)"),
+    "truncated": (truncated, "SELECT 1::BIGINT AS _record_id, 'first again' AS name, NULL::BIGINT AS size"),
+    "drop_days": (drop_days, "WITH u AS (SELECT user_id, bool_or(event_type = 'click') AS a, bool_or(event_type = 'click' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-09') AS b, bool_or(event_type = 'click' AND CAST(ts AS DATE) = DATE '2024-01-08') AS c, bool_or(event_type = 'click' AND CAST(ts AS DATE) >= DATE '2024-01-08') AS d FROM events GROUP BY 1) SELECT count(*) FILTER (a) AS n FROM u UNION ALL SELECT count(*) FILTER (b) FROM u UNION ALL SELECT count(*) FILTER (c) FROM u UNION ALL SELECT count(*) FILTER (NOT d) FROM u"),
+    "databases": (databases, "SELECT * FROM (VALUES ('joined', 2::BIGINT, 3::BIGINT), ('own', 3, 6), ('default', 1, NULL), ('spare', 0, NULL)) t(what, n, total)"),
+    "shown": (shown, "SELECT * FROM (VALUES ('table', 'areas', '3'), ('column', 'name', 'mutex'), ('column', 'size', 'int'), ('column', 'tags', 'set'), ('view', 'cold', 'SELECT name FROM areas WHERE tags = ''cold'''), ('create', 'areas', 'CREATE TABLE areas ( name MUTEX, size UINT(32), tags SET ) ENGINE = ''bitmap+columnar''')) t(what, name, of)"),
+    "system_tables": (system_tables, "SELECT * FROM (VALUES ('areas', 'BASE TABLE'), ('cold', 'VIEW'), ('name', 'mutex'), ('size', 'int'), ('tags', 'set'), ('default', 'default')) t(name, of)"),
+    "system_parts": (system_parts, "SELECT * FROM (VALUES ('name', 'standard', 0::BIGINT, 3::BIGINT), ('size', 'standard', 0, 3), ('tags', 'standard', 0, 3), ('name', 'standard', 1, 0), ('size', 'standard', 1, 1), ('tags', 'standard', 1, 0)) t(field, view, shard, count)"),
+    "refused": (refused, "SELECT * FROM (VALUES ('role may read', 'answered'), ('role may not write', 'forbidden'), ('set operation', 'sql_union'), ('no table', 'unknown_table'), ('too many rows', 'result_too_large'), ('too many deletes', 'sql_delete_too_large'), ('full', 'value_out_of_range'), ('revoked', 'forbidden'), ('kill', '0'), ('roles', 'guest')) t(what, code)"),
+    "explained": (explained, "SELECT unnest(['plan #0', 'Count events', '└── intersect', '    ├── value >= 5', '    └── not', '        └── event_type = ''view''', 'shape', 'Row', '└── count = count(*)']) AS explain"),
+    "rendered": (rendered, "WITH r AS (SELECT r_regionkey AS k, r_name AS n FROM region WHERE r_name LIKE 'A%' ORDER BY 1 LIMIT 3), s AS (SELECT string_agg(k || ',' || n || chr(10), '' ORDER BY k) AS c, string_agg(k || chr(9) || n || chr(10), '' ORDER BY k) AS t, string_agg('{\"r_regionkey\": ' || k || ', \"r_name\": \"' || n || '\"}', ', ' ORDER BY k) AS o, string_agg('[' || k || ', \"' || n || '\"]', ', ' ORDER BY k) AS l, count(*) AS m, '{\"meta\": [{\"name\": \"r_regionkey\"}, {\"name\": \"r_name\"}], \"data\": [' AS h FROM r) SELECT unnest(['CSV', 'CSVWithNames', 'TSV', 'TabSeparated', 'TSVWithNames', 'TabSeparatedWithNames', 'JSON', 'JSONCompact']) AS format, unnest([c, 'r_regionkey,r_name' || chr(10) || c, t, t, 'r_regionkey' || chr(9) || 'r_name' || chr(10) || t, 'r_regionkey' || chr(9) || 'r_name' || chr(10) || t, h || o || '], \"rows\": ' || m || '}', h || l || '], \"rows\": ' || m || '}']) AS body FROM s"),
+    "bound_values": (bound_values, "SELECT event_type, count(*) AS n FROM events WHERE value >= 20 AND event_type <> 'view' GROUP BY 1"),
+    "restored": (restored, "SELECT o_orderstatus AS status, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(12,2))) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1"),
+    "loaded": (loaded, "SELECT kind, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events WHERE event_id < 3000 GROUP BY 1) GROUP BY 1"),
+    "queued_writes": (queued_writes, "WITH i AS (SELECT range AS i FROM range(10)), r AS (SELECT 'k' || (i % 3) AS kind, i AS size FROM i UNION ALL SELECT 'k' || (i % 2), i + 1 FROM i) SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS total, 1::BIGINT AS failed FROM r GROUP BY 1"),
+    "stream_dedup": (stream_dedup, "SELECT event_type AS kind, count(*) AS n FROM events WHERE event_id < 2000 GROUP BY 1"),
+    "json_doubled_keys": (json_doubled_keys, "SELECT event_id, event_id AS a, 1 AS b, CAST(event_id AS VARCHAR) AS c, CAST(NULL AS VARCHAR) AS d FROM events WHERE event_id < 500"),
     "time_window": (time_window, "SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM (SELECT user_id, count(*) AS n, bool_or(event_type = 'purchase' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-16') AS w FROM events GROUP BY user_id) WHERE w"),
     "set_group": (set_group, "WITH u AS (SELECT user_id, count(*) AS n, bool_or(event_type = 'click') AS c FROM events GROUP BY user_id), t AS (SELECT DISTINCT user_id, event_type FROM events) SELECT event_type AS types, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM t JOIN u USING (user_id) WHERE c GROUP BY event_type"),
     "set_distinct": (set_distinct, "WITH u AS (SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_type LIKE '%i%')), t AS (SELECT DISTINCT user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM u)), k AS (SELECT event_type, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, event_type LIMIT 2) SELECT (SELECT count(DISTINCT event_type) FROM t) AS n, (SELECT list(event_type ORDER BY n DESC, event_type) FROM k) AS top, (SELECT count(*) FROM u) AS users"),

@@ -16,8 +16,8 @@ from tallyhouse.plans.select import ID, Source
 from tallyhouse.refusal import Refused
 
 
-#: Versions of the catalog that stay.
-KEPT = 5
+#: Versions of the catalog that stay, and what the folder of a part's days ends in.
+KEPT, DAYS = 5, ".days"
 
 
 @dataclass
@@ -27,6 +27,7 @@ class Table:
     parts: list[str] = field(default_factory=list)  # folders of the current version
     next_id: int = 1
     days_from: dict[str, str] = field(default_factory=dict)  # of a time quantum, the first day that is left
+    loads: dict[str, str] = field(default_factory=dict)  # of a load in chunks, the last file that is in
     frame: DataFrame | None = None  # of an attached table
     has_ids: bool = True
 
@@ -82,7 +83,7 @@ class Store:
         self.version = found[-1]
         p, _ = self._path(f"catalog/{self.version}.json")
         data = json.loads("".join(r[0] for r in self.spark.read.text(p.toString(), wholetext=True).collect()))
-        self.databases = {d: {t: Table([Field.from_json(f) for f in x["fields"]], x["engine"], x["parts"], x["next_id"], x["days_from"]) for t, x in tables.items()} for d, tables in data["databases"].items()}
+        self.databases = {d: {t: Table([Field.from_json(f) for f in x["fields"]], x["engine"], x["parts"], x["next_id"], x["days_from"], x.get("loads", {})) for t, x in tables.items()} for d, tables in data["databases"].items()}
         self.views, self.roles = data["views"], data["roles"]
 
     def save(self) -> None:
@@ -90,7 +91,7 @@ class Store:
         if not self.root:
             return
         data = {
-            "databases": {d: {t: {"fields": [f.as_json() for f in x.fields], "engine": x.engine, "parts": x.parts, "next_id": x.next_id, "days_from": x.days_from} for t, x in tables.items() if not x.attached} for d, tables in self.databases.items()},
+            "databases": {d: {t: {"fields": [f.as_json() for f in x.fields], "engine": x.engine, "parts": x.parts, "next_id": x.next_id, "days_from": x.days_from, "loads": x.loads} for t, x in tables.items() if not x.attached} for d, tables in self.databases.items()},
             "views": self.views,
             "roles": self.roles,
         }
@@ -148,19 +149,39 @@ class Store:
             out = out.withColumn(name, F.transform(name, without_days(day)))
         return out
 
+    def days(self, t: Table) -> dict[str, DataFrame]:
+        """Of each time quantum of a managed table, key, record id and day of its values, from folders by day; days that retention dropped are left out."""
+        out = {}
+        for f in t.fields if not t.attached else []:
+            if f.kind == "timequantum":
+                schema = T.StructType([T.StructField("key", T.StringType()), T.StructField(ID, T.LongType()), T.StructField("day", T.DateType())])
+                rows = self.spark.read.schema(schema).parquet(*[f"{p}{DAYS}/{f.name}" for p in t.parts]) if t.parts else self.spark.createDataFrame([], schema)
+                out[f.name] = rows.where(F.col("day") >= F.lit(t.days_from[f.name]).cast("date")) if f.name in t.days_from else rows
+        return out
+
     def source(self, name: str) -> Source:
         t = self.table(name)
-        return Source(self.frame(t), t.fields, t.has_ids)
+        return Source(self.frame(t), t.fields, t.has_ids, self.days(t))
 
     # --- writing
     def new_part(self, name: str) -> str:
         d, t = self.split(name)
         return f"{self.root}/data/{d}/{t}/{uuid.uuid4().hex}"
 
+    def write(self, t: Table, rows: DataFrame, part: str) -> None:
+        """Rows as a folder of Parquet, and beside it the days of each time quantum, read back from what was written."""
+        rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in t.schema]).write.parquet(part)
+        for f in t.fields:
+            if f.kind == "timequantum":
+                pairs = self.spark.read.schema(t.schema).parquet(part).select(ID, F.explode(f"`{f.name}`").alias("p"))
+                days = pairs.select(F.col("p.key").alias("key"), ID, F.to_date("p.at").alias("day")).where("day is not null").distinct()
+                # a folder for a table without days too, which can be read like any other
+                days.write.partitionBy("day").parquet(f"{part}{DAYS}/{f.name}")
+
     def append(self, name: str, rows: DataFrame) -> None:
         t = self.table(name)
         part = self.new_part(name)
-        rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in t.schema]).write.parquet(part)
+        self.write(t, rows, part)
         t.parts = [*t.parts, part]
 
     def replace(self, name: str, rows: DataFrame | None) -> None:
@@ -169,14 +190,14 @@ class Store:
         parts = []
         if rows is not None:
             part = self.new_part(name)
-            rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in t.schema]).write.parquet(part)
+            self.write(t, rows, part)
             parts = [part]
         t.parts = parts
 
     def vacuum(self, name: str) -> int:
         """Delete the folders of a table's earlier versions; how many went."""
         d, t = self.split(name)
-        live = {p.rsplit("/", 1)[1] for p in self.table(name).parts}
+        live = {p.rsplit("/", 1)[1] + x for p in self.table(name).parts for x in ("", DAYS)}
         p, fs = self._path(f"data/{d}/{t}")
         if not fs.exists(p):
             return 0

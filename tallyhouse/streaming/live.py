@@ -40,13 +40,16 @@ class Watch:
 
     def ask(self, batch: int) -> bool:
         """Ask, check the grant again, and tell if the answer has changed."""
-        answer = self.engine.sql(self.text, role=self.role)
-        mark = self.mark(answer.toDF(*[f"c{i}" for i in range(len(answer.columns))]))
-        if mark == self.last:
-            return False
-        self.last = mark
-        self.told(answer, batch)
-        return True
+        answer = self.engine.sql(self.text, role=self.role).persist()  # for the digest and the telling
+        try:
+            mark = self.mark(answer.toDF(*[f"c{i}" for i in range(len(answer.columns))]))
+            if mark == self.last:
+                return False
+            self.last = mark
+            self.told(answer, batch)
+            return True
+        finally:
+            answer.unpersist()
 
 
 def watch(engine: Engine, text: str, stream: DataFrame, told: Callable[[DataFrame, int], None], interval: int = 1000, checkpoint: str | None = None, role: str | None = None) -> StreamingQuery:
