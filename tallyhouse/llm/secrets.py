@@ -165,11 +165,19 @@ def segment(value: str, words: dict[str, float] | None = None) -> tuple[float, l
     return best[0], found
 
 
-@lru_cache(maxsize=1 << 10)
-def _guesses(value: str) -> list[float]:
+#: Values up to so many characters are remembered, and so many of them, which bounds the memory.
+REMEMBERED, REMEMBERED_CHARS = 1 << 10, 256
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _remembered(value: str) -> list[float]:
     return suffixes(value)[0]
 
 
+def _guesses(value: str) -> list[float]:
+    return _remembered(value) if len(value) <= REMEMBERED_CHARS else suffixes(value)[0]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the base patterns, sorted."""
     found = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
