@@ -6,12 +6,14 @@ Arrow batches against a fixed threshold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyhouse.llm.shared import as_bytes, chained, map_slices, mixed, word_hashes
 
@@ -126,8 +128,9 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
     """A model of column quality (1 good, 0 bad) of labels (doc_id, quality), from the per_class documents of each class whose ids hash lowest.
 
-    The bound is on labelled rows; their texts are turned into hashed features where they lie, and only
-    these reach the driver. Rows with a null label are left out. None if either class has no document.
+    The bound is on labelled rows; their texts are turned into hashed features where they lie, and one task
+    fits the model to these, so only its weights reach the driver. Of documents that share an id the least
+    text counts. Rows with a null label are left out. None if either class has no document.
     """
     picked = None
     for c in (0, 1):
@@ -138,11 +141,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         found = [features(x) for x in as_bytes(batch.column(1))]
         return {"id": batch.column(0), "at": pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), "value": pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32())), "y": batch.column(2)}
 
-    # at most 2 * per_class rows of two numbers
-    texts = docs.selectExpr("cast(doc_id as bigint) as id", "text").join(F.broadcast(picked), "id").select("id", "text", "y")
-    found = map_slices(texts, work, "id long, at array<int>, value array<float>, y int").toArrow().sort_by("id")
-    at, value = found.column("at").combine_chunks(), found.column("value").combine_chunks()
-    return fit([(a.values.to_numpy(), v.values.to_numpy(), y) for a, v, y in zip(at, value, found.column("y").to_pylist(), strict=True)])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), to_arrow_schema(kinds)).sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+        rows = [(a.values.to_numpy(), v.values.to_numpy(), y) for a, v, y in zip(table.column("at"), table.column("value"), table.column("y").to_pylist(), strict=True)]
+        if model := fit(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([model.weights.tobytes()], [model.bias], [model.slope], [model.offset])], names=["weights", "bias", "slope", "offset"])
+
+    # at most 2 * per_class rows of two numbers, joined to as many texts
+    texts = docs.selectExpr("cast(doc_id as bigint) as id", "text").join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = map_slices(texts.select("id", "text", "y"), work, "id long, at array<int>, value array<float>, y int")
+    kinds = rows.schema
+    made = rows.repartition(1).mapInArrow(fitted, "weights binary, bias double, slope double, offset double").collect()
+    return Model(np.frombuffer(made[0].weights), made[0].bias, made[0].slope, made[0].offset) if made else None
 
 
 def measure(text: bytes, model: Model | None) -> tuple[int, int, int, int, int, float]:
