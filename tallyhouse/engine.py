@@ -240,6 +240,15 @@ class Engine:
     def delete_ids(self, table: str, ids: DataFrame) -> int:
         return writes.delete_ids(self.store, table, ids)
 
+    def seen(self, table: str, field: str, keys: DataFrame) -> DataFrame:
+        """Those of keys (the first column) that some record has in a field, once each: what a sink asks before it writes."""
+        source = self.source(table)
+        f = source.field(field)
+        own = F.col(f"`{f.name}`")
+        own = F.explode(F.transform(own, lambda x: x["key"]) if f.kind == "timequantum" else own) if f.multiple else own
+        name = keys.columns[0]
+        return keys.select(name).distinct().join(source.frame.select(own.alias("held_")), F.col(name).eqNullSafe(F.col("held_")) & F.col(name).isNotNull(), "left_semi")
+
     def backup(self, path: str) -> None:
         """A copy of all managed tables and the catalog, from which Engine(spark, path) reads."""
         other = Store(self.spark, path)

@@ -458,6 +458,33 @@ def test_exact_in_a_hot_cluster(spark):
     assert sum(i % 400 == 0 for i in hot) >= 3
 
 
+def test_cells_that_lie_too_far_are_not_read():
+    r = np.random.default_rng(71)
+    middles = r.normal(size=(12, 16)) * 20
+    x = np.concatenate([m + r.normal(size=(300, 16)) * 0.3 for m in middles])
+    ids, centres = np.arange(len(x)), vectors.cells(x)
+    own = vectors.distances(x, centres)
+    cell, radius = own.argmin(1), np.full(len(centres), -1.0)
+    np.maximum.at(radius, cell, own.min(1))
+    queries = x[::50]
+    reach = vectors.within_sample(ids[::7], x[::7], ids[::50], queries, 10)
+    near = vectors.open_cells(queries, reach, centres, radius)
+    d = vectors.distances(queries, x)
+    for i in range(len(queries)):
+        nearest_ = [j for j in np.argsort(d[i], kind="stable") if j != 50 * i][:10]
+        assert reach[i] >= d[i, nearest_[-1]] and near[i, cell[nearest_]].all()
+    assert near.mean() < 0.25
+    assert not vectors.open_cells(queries, np.full(len(queries), np.inf), centres, np.where(np.arange(len(centres)) == 0, -1, radius))[:, 0].any()
+
+
+def test_blocks_take_every_query_once(spark):
+    counts = {0: 3, 1: 50, 2: 4, 5: 4, 6: 1, 9: 20}
+    rows = [(100 * cell + k, cell) for cell, n in counts.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "id long, cell int")
+    parts = [sorted(r.id for r in df.where(c).collect()) for c in vectors.blocks(counts, 10)]
+    assert sorted(x for p in parts for x in p) == [i for i, _ in rows] and max(map(len, parts)) <= 20 and vectors.blocks({}, 10) == []
+
+
 def test_vector_edges(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(0, same), (1, same), (2, same), (3, [1.0, 2.0, 4.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 1.0]), (7, [None, 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (None, same), (9, [-5.0, 0.0, 1.0]), (100, [9.0, 9.0, 9.0])]

@@ -1,8 +1,14 @@
 """The pipeline, stage by stage, on a small table, and the registered queries."""
 
+import random
+import re
+
 import pytest
+from test_corpus_operators import VOCABULARY, components_by_hand
+from test_text_operators import base_by_hand, measures_by_hand
 
 import __spark_entry__
+from tallyhouse.llm import packing, secrets
 from tallyhouse.llm.queries import oracle_sql, queries
 from tallyhouse.llm.shared import kept
 
@@ -44,3 +50,94 @@ def test_registered(spark):
     assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in queries()}
     assert set(oracle_sql()) <= set(queries()) <= set(__spark_entry__.queries())
     assert "pipeline" in __spark_entry__.queries()
+
+
+def raw_documents():
+    """Good and repetitive texts, copies under other ids and under their own, lines of many sites, secrets, and odd rows."""
+    r = random.Random(83)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
+    shared = [" ".join(word() for _ in range(9)) for _ in range(3)]
+    out = []
+    for i in range(160):
+        kind = r.random()
+        if kind < 0.2 and out:
+            text = r.choice(out)[1]
+        elif kind < 0.4 and out:
+            words = (r.choice(out)[1] or "a b").split(" ")
+            words[r.randrange(len(words))] = word()
+            text = " ".join(words)
+        elif kind < 0.5:
+            text = " ".join([word(), word()] * r.randint(10, 60))
+        else:
+            text = "\n".join(" ".join(word() for _ in range(r.randint(20, 60))) for _ in range(r.randint(1, 4)))
+        if r.random() < 0.3:
+            text += "\n" + r.choice(shared)
+        if r.random() < 0.15:
+            text += f" {r.choice(['token', 'password', 'secret'])}: {''.join(r.choice('abcdef0123456789') for _ in range(30))}"
+        out.append((i // 2 if r.random() < 0.1 else i, text, "en", f"s{r.randrange(8)}", len(text)))
+    return [*out, (900, None, None, None, None), (901, "", "en", "s1", 0), out[5], out[5], (902, "one " * 70_000, "en", "s2", 1)]
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    """The whole pipeline, stage on stage, without labels, so that the base rules alone judge."""
+    rows = raw_documents()
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, columns).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = [x for x in rows if (m := measures_by_hand(x[1]))[0] >= 50 and 100 * m[4] <= 50 * m[0]]
+    assert 40 < len(docs) < len(rows)
+    sites, first = {}, {}
+    for x in docs:
+        for at, line in enumerate(x[1].split("\n")):
+            if bare := line.strip(" "):
+                sites.setdefault(bare, set()).add(x[3])
+                first.setdefault(bare, []).append((x[0], at, x[1]))
+    stage = corpus_pipeline.STAGES
+    got = kept(stage[1][1](spark, kept(stage[0][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))), str(tmp_path)))
+    cut = [(x.doc_id, x.text) for x in got.collect()]
+    assert len(cut) == len(docs)
+    wide = {line for line, s in sites.items() if len(s) >= 5}
+    assert wide
+    for line in wide:
+        # of each line the first place alone stays: once, or in every row that repeats that document
+        holders = {(d, t) for d, t in cut if line in [y.strip(" ") for y in t.split("\n")]}
+        assert {d for d, _ in holders} == {min(d for d, *_ in first[line])}
+    flat = sorted(x for d, t in cut for x in t.split("\n") if x.strip(" ") not in wide)
+    assert flat == sorted(x for d in docs for x in d[1].split("\n") if x.strip(" ") not in wide)
+
+    one = kept(stage[2][1](spark, got, str(tmp_path))).collect()
+    pairs = list(dict.fromkeys(cut))
+    group = components_by_hand([(i, t) for i, (_, t) in enumerate(pairs)], 5, 80)
+    by_group = {}
+    for (d, t), (_, _, component) in zip(pairs, group, strict=True):
+        by_group.setdefault(component, []).append((d, t))
+    assert len(one) == len(by_group) < len(pairs)
+    stay = {(x.doc_id, x.text) for x in one}
+    for own in by_group.values():
+        assert len(stay & set(own)) == 1 and {d for d, t in own if (d, t) in stay} == {min(d for d, _ in own)}
+
+    clean = kept(stage[3][1](spark, spark.createDataFrame(one, columns), str(tmp_path))).collect()
+    assert sorted((x.doc_id, x.text) for x in clean) == sorted((x.doc_id, secrets.masked(x.text)) for x in one)
+    hidden = 0
+    for x in one:
+        base = base_by_hand(x.text)
+        after = next(y.text for y in clean if y.doc_id == x.doc_id and y.text.split(" ")[0] == x.text.split(" ")[0] and secrets.masked(x.text) == y.text)
+        for start, kind, end in base:
+            value = x.text[start:end] if kind else re.split(r"[:=]\x20*[\"']?", x.text[start:end], maxsplit=1)[1]
+            assert value not in after
+            hidden += 1
+        assert base or x.n_chars == next(y.n_chars for y in clean if y.text == after and y.doc_id == x.doc_id)
+    assert hidden > 3
+
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {}
+    for x in clean:
+        texts.setdefault(x.doc_id, []).append(packing.encoder(VOCABULARY, 1).encode([x.text])[0].tolist())
+    single = {d: ids[0] for d, ids in texts.items() if len(ids) == 1}
+    assert {x.doc_id for x in packed} == set(texts) and sum(x.length for x in packed) == sum(len(i) for ids in texts.values() for i in ids)
+    sequences = {x.sequence_id for x in packed}
+    totals = {q: sum(x.length for x in packed if x.sequence_id == q) for q in sequences}
+    assert all(n == 2048 or n < 2048 and n & (n - 1) == 0 for n in totals.values())
+    for d, ids in single.items():
+        assert sorted((x.start, x.doc_tokens) for x in packed if x.doc_id == d)[0] == (0, len(ids))

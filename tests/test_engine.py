@@ -225,6 +225,12 @@ def test_writes(own, spark):
     assert rows(own.records("twin", limit=5)) == [(2,)] and rows(own.records("twin", after=2)) == []
 
 
+def test_seen_keys(own, spark):
+    keys = spark.createDataFrame([("old",), ("none",), ("new",), ("new",), (None,)], "k string")
+    assert sorted(r.k for r in own.seen("stock", "labels", keys).collect()) == ["new", "old"]
+    assert [r[0] for r in own.seen("stock", "pieces", spark.createDataFrame([(30,), (31,)], "n long")).collect()] == [30]
+
+
 def test_definitions(own):
     own.sql("ALTER TABLE stock ADD COLUMN weight DECIMAL(6, 1)")
     with pytest.raises(Refused, match="field_exists"):
