@@ -26,8 +26,9 @@ def encoding(rank_file: str, pattern: str):
     return tiktoken.Encoding("local ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-_GAP = re.compile(r"(?<=\S)(?=\s)")
-_LONG = re.compile(rf"\s{{{RUN},}}")
+# the library's white space: Python's without the four separators 1C to 1F
+_GAP = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
+_LONG = re.compile(rf"[^\S\x1c-\x1f]{{{RUN},}}")
 
 
 def parts(text: str) -> list[str]:
@@ -56,7 +57,7 @@ def encode(enc, text: str) -> np.ndarray:
         for run in _LONG.finditer(part):
             end = run.end() if run.end() == len(part) else run.end() - 1
             ids += enc.encode_ordinary(part[at : run.start()])
-            ids += enc._encode_single_piece(part[run.start() : end])
+            ids += enc.encode_ordinary(part[run.start() : end])
             at = end
         ids += enc.encode_ordinary(part[at:])
     return np.array(ids, np.uint32)

@@ -371,6 +371,15 @@ def test_encoding_equals_the_library_and_comes_back():
     assert "".join(bpe.parts("ab cd " * 40_000)) == "ab cd " * 40_000
 
 
+def test_white_space_is_the_library_s(monkeypatch):
+    """Separators that Python alone takes for white space, at places where texts are cut and in long runs."""
+    monkeypatch.setattr(bpe, "PART", 40)
+    enc, r = bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(18)
+    for _ in range(300):
+        text = "".join(r.choice(["!", "\x1c", "\x1f", " ", "\n", "\x85", "\xa0", "a", "1", "é", " " * 600, "\u2003"]) for _ in range(r.randint(0, 120)))
+        assert bpe.encode(enc, text).tolist() == enc.encode_ordinary(text)
+
+
 def test_bpe_rows(edge):
     rows = by_id(bpe.digests(edge, RANKS, public_tokenizers.PATTERN))
     for (_, text, *_), row in zip(sorted(EDGE, key=lambda r: (r[0] is None, r[0] or 0)), rows, strict=True):
