@@ -84,8 +84,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate:
     parts = []
     for lo in range(0, len(rows), CHUNK):
         own = rows[lo : lo + CHUNK]
-        at = np.concatenate([r[0] for r in own])
-        parts.append((lo, at, (np.concatenate([r[1] for r in own]) / scale[at]).astype(np.float32), np.repeat(np.arange(len(own)), sizes[lo : lo + CHUNK]).astype(np.int32), len(own)))
+        at = np.concatenate([r[0] for r in own]).astype(np.intp)  # as bincount takes them, step by step
+        parts.append((lo, at, (np.concatenate([r[1] for r in own]) / scale[at]).astype(np.float32), np.repeat(np.arange(len(own)), sizes[lo : lo + CHUNK]), len(own)))
     w, b, gw, gb = np.zeros(width), 0.0, np.full(width, 1e-8), 1e-8
     z = np.zeros(len(rows))
 
