@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import kept
+from tallyhouse.llm.shared import kept, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = kept(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
         ends = live.join(step.withColumnsRenamed({"node": "a", "root": "x"}), "a").join(step.withColumnsRenamed({"node": "b", "root": "y"}), "b")
-        live = kept(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, live = live, kept(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        release(before)
         if moved is None:
             moved = step
         else:
-            moved = moved.withColumnRenamed("root", "mid").join(step.withColumnsRenamed({"node": "mid"}), "mid", "left").select("node", F.coalesce("root", "mid").alias("root"))
-            moved = kept(moved)
+            before, moved = moved, kept(moved.withColumnRenamed("root", "mid").join(step.withColumnsRenamed({"node": "mid"}), "mid", "left").select("node", F.coalesce("root", "mid").alias("root")))
+            release(before, step)
     return moved if moved is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))

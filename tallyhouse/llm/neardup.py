@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import components
-from tallyhouse.llm.shared import as_bytes, chained, kept, map_slices, mixed, row_key, word_hashes
+from tallyhouse.llm.shared import as_bytes, chained, kept, map_slices, mixed, release, row_key, word_hashes
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -232,7 +232,12 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, rule: Rule) -> Da
     rooted = shared.where("size > 2").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", F.coalesce("root", "digest").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
     rest = kept(block_links(rooted.join(open_, "key", "left_semi").join(classes.select("digest", "regs", "n"), "digest").join(sets, "digest"), rule))
-    return found if rest.isEmpty() else components(linked.unionByName(rest))
+    if not rest.isEmpty():
+        before, found = found, components(linked.unionByName(rest))
+        if hasattr(before, "_kept"):  # else no class was linked
+            release(before)
+    release(shared, close, sets, linked, rest)
+    return found
 
 
 def grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:

@@ -84,13 +84,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder as Parquet and read back, which cuts lineage and survives lost executors. The files go when the driver ends."""
+    """df written once to the shared folder as Parquet and read back, which cuts lineage and survives lost executors. The files go by release(), else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of kept DataFrames that nothing is read from any more."""
+    for df in frames:
+        held = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept)
+        held.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(held, True)
 
 
 def row_key(*more: str) -> "F.Column":

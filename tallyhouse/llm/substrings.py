@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import as_bytes, eights, kept, map_slices, mixed, row_key, slices
+from tallyhouse.llm.shared import as_bytes, eights, kept, map_slices, mixed, release, row_key, slices
 from tallyhouse.llm.suffixes import widest
 
 SIZE, GRAM = 200, 24
@@ -169,6 +169,7 @@ def covered(texts: DataFrame, size: int = SIZE, at_once: int = SORTED_AT_ONCE) -
     # written first: then the join below reads both sides by exchanges of its own, and an anchor that is everywhere can be split
     twice = kept(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1"))
     members = kept(found.join(twice, "h").select("key", "h", "c", "pos", "lo", "hi", (F.col("x") != F.col("y")).alias("mixed")))
+    release(twice)
     alike = members.where("not mixed").select("key", F.col("lo").alias("s"), (F.col("hi") + size).alias("e"))
     own = members.where("mixed")
     # one context of each kind, from the text that holds it

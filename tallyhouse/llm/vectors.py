@@ -7,6 +7,10 @@ more than the rest, since that part changes the products that matter. Two codes
 scores against all codes are sums of table entries. Centred at c, a score is off by at most |q - c| times the
 norm of the vector's residual, which is kept: the best by score are ranked exactly first, then all others
 that this bound does not put behind the k-th of them, so the result is exact.
+
+The index is laid out by coarse cells, of which the radius is known. A query has k neighbours within some
+distance in the sample already; cells that lie farther off are not read for it. Queries are asked by cell, so
+that those of one block leave out the same cells.
 """
 
 from __future__ import annotations
@@ -17,14 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import kept
+from tallyhouse.llm.shared import kept, release
 
-CENTROIDS = 16
+#: Centroids of a block, and its dimensions.
+CENTROIDS, WIDTH = 16, 2
 #: Vectors that the codebooks are fitted on at most, queries that one pass over the vectors answers, and vectors scanned at a time.
 SAMPLE, QUERIES_AT_ONCE, VECTORS_AT_ONCE = 8192, 2048, 4096
+#: Coarse cells by which the index is laid out at most, and sample vectors to each at least.
+CELLS, CELL_SAMPLE = 64, 32
 #: Candidates by score that are ranked exactly first, from which on the bound rules out others, and the share of the largest products that the loss is tuned to.
 RERANK, THRESHOLD = 200, 0.2
 
@@ -67,7 +74,7 @@ def assign(x: np.ndarray, books: Codebooks, extra: float, rounds: int = 2) -> np
     return codes.astype(np.uint8)
 
 
-def fit(x: np.ndarray, width: int = 2, rounds: int = 8, threshold: float = THRESHOLD, seed: int = 7) -> Codebooks:
+def fit(x: np.ndarray, width: int = WIDTH, rounds: int = 8, threshold: float = THRESHOLD, seed: int = 7) -> Codebooks:
     """Codebooks of the sample x by alternating assignment and the exact least-squares centroids of the anisotropic loss."""
     dims = x.shape[1]
     blocks = -(-dims // width)
@@ -123,8 +130,52 @@ def residual(x: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray:
     return np.linalg.norm(x - made, axis=1)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, books: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query number, row, distance) of those of the k nearest rows for each query that lie within its reach.
+def cells(x: np.ndarray, most: int = CELLS, rounds: int = 10, seed: int = 11) -> np.ndarray:
+    """Centroids of the sample x by k-means, ordered along its widest direction, so that neighbours in number tend to lie close."""
+    rng = np.random.default_rng(seed)
+    found = x[rng.choice(len(x), max(1, min(most, len(x) // CELL_SAMPLE)), replace=False)]
+    for _ in range(rounds):
+        own = distances(x, found).argmin(1)
+        n = np.bincount(own, minlength=len(found))
+        sums = np.zeros_like(found)
+        np.add.at(sums, own, x)
+        found = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], found)
+    away = found - found.mean(0)
+    return found[np.argsort(away @ np.linalg.svd(away, full_matrices=False)[2][0], kind="stable")]
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to all of b, without the cancellation of the expanded square."""
+    out = np.empty((len(a), len(b)))
+    for j, y in enumerate(b):
+        out[:, j] = np.sqrt(((a - y) ** 2).sum(1))
+    return out
+
+
+def within_sample(sample_ids: np.ndarray, sample: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """For each query a distance within which k sample vectors of other ids lie; infinite if there are fewer."""
+    reach = np.full(len(queries), np.inf)
+    square = (sample**2).sum(1)
+    for lo in range(0, len(queries), 256):
+        # products choose k vectors close by; whichever they are, their own distances bound the k-th nearest
+        guess = square - 2 * queries[lo : lo + 256] @ sample.T
+        for i, g in enumerate(guess):
+            g = np.where(sample_ids == query_ids[lo + i], np.inf, np.nan_to_num(g, nan=np.inf))
+            if np.isfinite(g).sum() >= k:
+                rows = np.argpartition(g, k - 1)[:k]
+                reach[lo + i] = np.sqrt(((sample[rows] - queries[lo + i]) ** 2).sum(1)).max()
+    return reach
+
+
+def open_cells(queries: np.ndarray, reach: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Whether a cell may hold vectors within a query's reach (queries, cells); cells without vectors hold none."""
+    d = distances(queries, centres)
+    # a hair more than what rounding can take off
+    return (radius >= 0) & (d - radius <= reach[:, None] + 1e-12 * (d + np.abs(radius) + 1))
+
+
+def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, books: Codebooks, query_ids: np.ndarray, queries: np.ndarray, chosen: np.ndarray, k: int, rerank: int, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query number, row, distance) of those of the k nearest rows for each chosen query that lie within its reach.
 
     left: the norms of the residuals. reach: for each query a distance within which k vectors are known to
     lie; it is brought down to that of the k-th row here.
@@ -133,8 +184,9 @@ def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, bo
     if not len(x):
         return
     tiny = np.finfo(np.float32)
-    for lo in range(0, len(queries), 64):
-        own = queries[lo : lo + 64]
+    for lo in range(0, len(chosen), 64):
+        some = chosen[lo : lo + 64]
+        own = queries[some]
         table = tables(own - books.centre, books)
         norm = np.linalg.norm(own - books.centre, axis=1)
         # what the sums of single precision can be off by
@@ -143,15 +195,15 @@ def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, bo
         score = np.repeat(half[None], len(own), 0)
         for byte in range(codes.shape[1]):
             score -= table[:, byte][:, codes[:, byte]]
-        for i in range(len(own)):
-            s, other = score[i], ids != query_ids[lo + i]
+        for i, number in enumerate(some):
+            s, other = score[i], ids != query_ids[number]
             ahead = np.argpartition(s, rerank - 1)[:rerank] if len(s) > rerank else np.arange(len(s))
             rows = ahead[other[ahead]]
             d = np.sqrt(((x[rows] - own[i]) ** 2).sum(1))
             if len(d) >= k:
-                reach[lo + i] = min(reach[lo + i], np.partition(d, k - 1)[k - 1])
+                reach[number] = min(reach[number], np.partition(d, k - 1)[k - 1])
             if len(s) > rerank:
-                edge = reach[lo + i] ** 2 / 2 - norm[i] ** 2 / 2 + 2.0**-40 * (reach[lo + i] ** 2 + norm[i] ** 2)
+                edge = reach[number] ** 2 / 2 - norm[i] ** 2 / 2 + 2.0**-40 * (reach[number] ** 2 + norm[i] ** 2)
                 slack = terms * (tiny.eps * (half + most[i]) + tiny.tiny)
                 # a score that overflows rules out nothing
                 near = other & ~(s - norm[i] * left - slack > edge)
@@ -159,10 +211,10 @@ def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, bo
                 more = np.flatnonzero(near)
                 rows, d = np.concatenate([rows, more]), np.concatenate([d, np.sqrt(((x[more] - own[i]) ** 2).sum(1))])
             best = np.lexsort((ids[rows], d))[:k]
-            best = best[d[best] <= reach[lo + i]]
+            best = best[d[best] <= reach[number]]
             if len(best) == k:
-                reach[lo + i] = min(reach[lo + i], d[best[-1]])
-            yield np.full(len(best), lo + i), rows[best], d[best]
+                reach[number] = min(reach[number], d[best[-1]])
+            yield np.full(len(best), number), rows[best], d[best]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -188,69 +240,120 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str =
     rows with its own id; repeated rows are neighbours each, and a query whose id repeats is searched once,
     with its least vector. Fewer candidates than k: all. An empty table gives no rows.
 
-    The codebooks are fitted on the sample vectors whose ids hash lowest. All vectors are coded. Queries
-    are taken in blocks of about at_once, the only thing that is sent to the tasks besides the codebooks;
-    each block is scanned against all vectors, and a task passes on its k exact nearest only. The k nearest
-    are exact, whatever rerank is: it is the number that is ranked before the error bound rules out others.
+    The codebooks and cells are fitted on the sample vectors whose ids hash lowest. All vectors are coded and
+    laid out by cell. Queries are taken in blocks of at_once at most, the only thing that is sent to the
+    tasks besides the codebooks; each block reads the cells that may hold neighbours of its queries, and a
+    task passes on its k exact nearest only. The k nearest are exact, whatever rerank is: it is the number
+    that is ranked before the error bound rules out others.
     """
     spark = vectors.sparkSession
     valid = usable(vectors, id_column, vector_column)
-    result = "query_id long, vec_id long, score double"
-    drawn = valid.orderBy(F.xxhash64("id"), "id", "v").limit(sample).toArrow()
+    result, final = "query_id long, vec_id long, score double", "query_id long, rank int, vec_id long, score double"
+    picked = kept(valid.orderBy(F.xxhash64("id"), "id", "v").limit(sample))
+    drawn = picked.toArrow()
     if not drawn.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], final)
     lengths = pc.list_value_length(drawn.column("v"))
     dims = int(pc.mode(lengths)[0]["mode"].as_py())
     valid = valid.where(F.size("v") == dims)
-    books = fit(matrix(drawn.filter(pc.equal(lengths, dims)).column("v"), dims))
+    drawn = drawn.filter(pc.equal(lengths, dims))
+    sample_ids, sampled = drawn.column("id").to_numpy(), matrix(drawn.column("v"), dims)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), matrix(b.column(1), dims)) for b in batches if b.num_rows]
+        ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+        x = x[np.lexsort((*x.T[::-1], ids))]  # whatever order the rows come in
+        books = fit(x)
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (books.centroids, books.centre, cells(x))], names=["centroids", "centre", "cells"])
+
+    # one task fits, so that the driver gets no more than the codebooks
+    made = picked.where(F.size("v") == dims).repartition(1).mapInArrow(fitted, "centroids binary, centre binary, cells binary").collect()[0]
+    books = Codebooks(np.frombuffer(made.centroids).reshape(-1, CENTROIDS, WIDTH), dims, np.frombuffer(made.centre))
+    centres = np.frombuffer(made.cells).reshape(-1, dims)
     extra = parallel_weight(dims) - 1
-    sent = spark.sparkContext.broadcast(books)
+    sent = spark.sparkContext.broadcast((books, centres, sample_ids, sampled))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, centres, _, _ = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, VECTORS_AT_ONCE):
                 part = batch.slice(at, VECTORS_AT_ONCE)
-                x = matrix(part.column(1), dims) - sent.value.centre
-                codes = assign(x, sent.value, extra)
-                left = residual(x, codes, sent.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in packed(codes)], pa.binary()), pa.array(left)], names=["id", "v", "codes", "residual"])
-
-    index = kept(valid.mapInArrow(encode, "id long, v array<double>, codes binary, residual double"))
-    queries = kept(index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
-    count = queries.count()
-    blocks = max(1, -(-count // at_once))
+                x = matrix(part.column(1), dims)
+                d = distances(x, centres)
+                cell = d.argmin(1)
+                x = x - books.centre
+                codes = assign(x, books, extra)
+                columns = [part.column(0), part.column(1), pa.array([c.tobytes() for c in packed(codes)], pa.binary()), pa.array(residual(x, codes, books)), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "codes", "residual", "cell", "away"])
+
+    coded = valid.mapInArrow(encode, "id long, v array<double>, codes binary, residual double, cell int, away double")
+    # ranges of cell and id: a cell with many vectors takes many files, and a file holds few cells
+    index = kept(coded.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id"))
+    radius = np.full(len(centres), -1.0)
+    for cell, far in index.groupBy("cell").agg(F.max("away")).collect():  # a row for each cell
+        radius[cell] = far
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reach = within_sample(sent.value[2], sent.value[3], batch.column(0).to_numpy(), matrix(batch.column(1), dims), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reach)], names=["id", "v", "cell", "reach"])
+
+    # a query's least vector stands for it
+    least = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select("id", "q.v", "q.cell")
+    queries = kept(least.mapInArrow(bounded, "id long, v array<double>, cell int, reach double"))
     found = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow().sort_by("id")
-        if not own.num_rows:
-            continue
-        asked = spark.sparkContext.broadcast((own.column("id").to_numpy(), matrix(own.column("v"), dims)))
+    for wanted in blocks({r.cell: r["count"] for r in queries.groupBy("cell").count().collect()}, at_once):
+        own = queries.where(wanted).toArrow().sort_by("id")
+        query_ids, of = own.column("id").to_numpy(), matrix(own.column("v"), dims)
+        reach = own.column("reach").to_numpy()
+        near = open_cells(of, reach, centres, radius)
+        asked = spark.sparkContext.broadcast((query_ids, of, reach, near))
 
         def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            query_ids, of = asked.value
-            reach = np.full(len(of), np.inf)
+            query_ids, of, reach, near = asked.value
+            reach = reach.copy()
             best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query number, id, distance
             for batch in batches:
                 for at in range(0, batch.num_rows, VECTORS_AT_ONCE):
-                    part = batch.slice(at, VECTORS_AT_ONCE).sort_by("id")
-                    ids, x = part.column(0).to_numpy(), matrix(part.column(1), dims)
-                    codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-                    best += [(q, ids[rows], d) for q, rows, d in scan(ids, x, codes, part.column(3).to_numpy(), sent.value, query_ids, of, k, rerank, reach)]
-                if len(best) > 8 * len(of):
-                    best = [shortened(best, k)]
+                    part = batch.slice(at, VECTORS_AT_ONCE).sort_by([("cell", "ascending"), ("id", "ascending")])
+                    cell = part.column(4).to_numpy()
+                    for lo, hi in zip(*(np.searchsorted(cell, np.unique(cell), side) for side in ("left", "right")), strict=True):
+                        chosen = np.flatnonzero(near[:, cell[lo]])
+                        rows = part.slice(lo, hi - lo)
+                        ids, x = rows.column(0).to_numpy(), matrix(rows.column(1), dims)
+                        codes = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+                        best += [(q, ids[r], d) for q, r, d in scan(ids, x, codes, rows.column(3).to_numpy(), sent.value[0], query_ids, of, chosen, k, rerank, reach)]
+                    if len(best) > 8 * len(of):
+                        best = [shortened(best, k)]
             if best:
                 q, ids, d = shortened(best, k)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(d)], names=["query_id", "vec_id", "score"])
 
-        part = index.mapInArrow(search, result)
-        part = kept(part) if blocks > 1 else part
+        part = kept(index.where(F.col("cell").isin(np.flatnonzero(near.any(0)).tolist())).mapInArrow(search, result))
         found = part if found is None else found.unionByName(part)
+    release(picked, index, queries)
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], final)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def blocks(counts: dict[int, int], at_once: int) -> list[Column]:
+    """Conditions that deal queries (id, cell) into blocks of about at_once: neighbouring cells with few together, a cell with many in parts by hash."""
+    out, some, held = [], [], 0
+    for cell in sorted(counts):
+        n = counts[cell]
+        if some and held + n > at_once:
+            out.append(F.col("cell").isin(some))
+            some, held = [], 0
+        if n > at_once:
+            parts = -(-n // at_once)
+            out += [(F.col("cell") == cell) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == p) for p in range(parts)]
+        else:
+            some, held = [*some, cell], held + n
+    return [*out, F.col("cell").isin(some)] if some else out
+
+
 def shortened(best: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of each query."""
     q, ids, d = (np.concatenate(x) for x in zip(*best, strict=True))
