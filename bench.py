@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line with the median of warm runs, after each answer is held against DuckDB.
 
 Beside the whole time of each query stands what planning takes of it, without a job. The first six run once
-more over orders and events repeated $BENCH_TIMES times, where reading outweighs starting.
+more over orders, events and parts repeated $BENCH_TIMES times, where reading outweighs starting.
 """
 
 from __future__ import annotations
@@ -47,10 +47,11 @@ def larger(spark: SparkSession, to: str) -> dict[str, dict[str, float]]:
     """The first six over repeated tables, ours and DuckDB's, both from the same Parquet files."""
     duck = duckdb.connect()
     duck.execute("SET timezone = 'UTC'")
-    for t in ("orders", "events"):
+    tables = ("orders", "events", "part")
+    for t in tables:
         duck.execute(f"COPY (SELECT t.* FROM '{SF_DIR}/{t}.parquet' t, range({TIMES})) TO '{to}/{t}.parquet' (FORMAT PARQUET, ROW_GROUP_SIZE 200000)")
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{to}/{t}.parquet'")
-    own = engine(spark, to, "orders", "events")
+    own = engine(spark, to, *tables)
     out: dict[str, dict[str, float]] = {"queries": {}, "duckdb": {}}
     for name in HEADLINE[:6]:
         plain(own.sql(SQL[name][0])).toArrow()
