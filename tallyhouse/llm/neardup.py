@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import components
-from tallyhouse.llm.shared import as_bytes, chained, kept, map_slices, mixed, release, row_key, word_hashes
+from tallyhouse.llm.shared import as_bytes, chained, in_arrow, kept, map_slices, mixed, release, row_key, word_hashes
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -139,7 +139,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
                 near &= 100 * np.minimum(n_a, n_b) >= rule.percent * np.maximum(n_a, n_b)
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(pa.array(near))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+    return in_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -216,7 +216,7 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, rule: Rule) -> Da
             at, band = np.repeat(np.arange(x.num_rows), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), x.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), x.column(0).take(pa.array(at))], names=["key", "band", "digest"])
 
-    bands = classes.select("digest", "regs").mapInArrow(spread, "key long, band int, digest binary")
+    bands = in_arrow(classes.select("digest", "regs"), spread, "key long, band int, digest binary")
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = kept(bands.join(sizes, "key"))
     # of a family of copies the original shares most bands with the others, so it is what each band's members are compared with first

@@ -15,7 +15,6 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyhouse.llm.shared import slices, strings
+from tallyhouse.llm.shared import held, in_arrow, slices, strings
 
 WINDOW = 2048
 #: Word forms, and pieces of words, whose ids a Python worker remembers; longer ones than REMEMBERED_CHARS never.
@@ -185,7 +184,7 @@ class WordEncoder:
         return [np.concatenate([ids[a:b], self.end]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-@lru_cache(maxsize=2)
+@held(2)
 def encoder(vocabulary: str, end_id: int | None) -> WordEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(vocabulary, end_id)
@@ -342,4 +341,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
         packer.finish()
         yield from out()
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))
+    return in_arrow(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), run, SCHEMA + (", ids array<long>" if with_ids else ""), encoder)

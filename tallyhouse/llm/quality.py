@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyhouse.llm.shared import as_bytes, chained, map_slices, mixed, word_hashes
+from tallyhouse.llm.shared import as_bytes, chained, in_arrow, map_slices, mixed, word_hashes
 
 # Fixed values of the base contract.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     texts = docs.selectExpr("cast(doc_id as bigint) as id", "text").join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     rows = map_slices(texts.select("id", "text", "y"), work, "id long, at array<int>, value array<float>, y int")
     kinds = rows.schema
-    made = rows.repartition(1).mapInArrow(fitted, "weights binary, bias double, slope double, offset double").collect()
+    made = in_arrow(rows.repartition(1), fitted, "weights binary, bias double, slope double, offset double").collect()
     return Model(np.frombuffer(made[0].weights), made[0].bias, made[0].slope, made[0].offset) if made else None
 
 

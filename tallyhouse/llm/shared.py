@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Python call handles at once; long texts are further split by bytes.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Bytes of an Arrow batch that a task hands to Python; each batch lies in the JVM and in the worker, outside the heap.
+BATCH_BYTES = 4 << 20
 
 
 def as_texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
@@ -51,6 +54,46 @@ def slices(batch: pa.RecordBatch, by: str = "text") -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+#: What workers remember from task to task, by operator.
+_held: list = []
+
+
+def held(size: int) -> Callable:
+    """lru_cache of what a worker holds between tasks that declare it; in_arrow's other tasks drop it."""
+
+    def wrap(make: Callable) -> Callable:
+        _held.append(lru_cache(maxsize=size)(make))
+        return _held[-1]
+
+    return wrap
+
+
+def give_back(*stay: Callable) -> None:
+    """Drop what held() functions other than these remember, and return freed memory to the system; idle workers count too."""
+    for cache in _held:
+        if not any(cache is x for x in stay) and cache.cache_info().currsize:
+            cache.cache_clear()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # the latter trims what C libraries and numpy have freed
+        pool.release_unused()
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, *stay: Callable) -> DataFrame:
+    """mapInArrow with batches of about BATCH_BYTES, one row at least, by workers that hold nothing from earlier tasks but the held() functions in stay.
+
+    The limit is a setting of the session, read when a plan runs, so it stays with the session; a lower one is left.
+    """
+    spark = df.sparkSession
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(*stay)
+        yield from run(batches)
+        give_back(*stay)
+
+    return df.mapInArrow(task, schema)
+
+
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, by: str = "text") -> DataFrame:
     """mapInArrow with one call of work for each slice; work returns columns in the order of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,7 +109,7 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out.values(), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, kinds)
+    return in_arrow(df, run, kinds)
 
 
 def shared_folder(spark: SparkSession) -> str:

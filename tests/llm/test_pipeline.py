@@ -8,7 +8,7 @@ from test_corpus_operators import VOCABULARY, components_by_hand
 from test_text_operators import base_by_hand, measures_by_hand
 
 import __spark_entry__
-from tallyhouse.llm import packing, secrets
+from tallyhouse.llm import packing, secrets, shared
 from tallyhouse.llm.queries import oracle_sql, queries
 from tallyhouse.llm.shared import kept
 
@@ -141,3 +141,31 @@ def test_run_against_plain_python(spark, tmp_path):
     assert all(n == 2048 or n < 2048 and n & (n - 1) == 0 for n in totals.values())
     for d, ids in single.items():
         assert sorted((x.start, x.doc_tokens) for x in packed if x.doc_id == d)[0] == (0, len(ids))
+
+
+def test_python_gets_batches_of_bounded_bytes(spark):
+    # before, a batch had up to 10,000 rows and 64 MB, in the JVM and in the worker, beside the heap
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rows = spark.range(0, 1500, 1, 1).selectExpr("id", "repeat(cast(id % 10 as string), 10000) as text")
+    held = lambda part: {"id": part.column(0), "bytes": [part.column(1).buffers()[2].size] * part.num_rows}  # noqa: E731  a slice has its batch's buffers
+    found = shared.map_slices(rows, held, "id long, bytes long").collect()
+    assert sorted(r.id for r in found) == list(range(1500))
+    assert max(r.bytes for r in found) <= 2 * shared.BATCH_BYTES
+
+
+def test_lower_batch_limits_stay(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, "1m")
+    shared.map_slices(spark.range(1).selectExpr("id", "'' as text"), lambda x: {"id": x.column(0)}, "id long")
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+
+
+def test_workers_give_back_what_packing_remembers(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string").coalesce(1)
+    remembered = lambda part: {"n": [packing.encoder.cache_info().currsize] * part.num_rows}
+    for _ in range(3):  # whichever workers are idle
+        assert packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 1
+        assert [r.n for r in shared.map_slices(docs, remembered, "n long").collect()] == [0]
