@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import as_bytes, eights, kept, map_slices, mixed, release, row_key, slices
+from tallyhouse.llm.shared import as_bytes, eights, in_arrow, kept, map_slices, mixed, release, row_key, slices
 from tallyhouse.llm.suffixes import widest
 
 SIZE, GRAM = 200, 24
@@ -188,13 +188,13 @@ def covered(texts: DataFrame, size: int = SIZE, at_once: int = SORTED_AT_ONCE) -
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()], strict=True)], names=["h", "part", "c", "n", "off", "cut", "ctx"])
 
-    fetched = texts.join(wanted, "key").select("key", "text", "wanted").mapInArrow(fetch, "h long, part long, c long, n long, off int, cut int, ctx binary")
+    fetched = in_arrow(texts.join(wanted, "key").select("key", "text", "wanted"), fetch, "h long, part long, c long, n long, off int, cut int, ctx binary")
     open_, ranges = kept(fetched), None
     for starts, most in ((STARTS, at_once), (1, PART_KINDS * at_once)):
         large = kept(open_.groupBy("h", "part").count().where(F.col("count") > most).select("h", "part"))
         some = not large.isEmpty()
         small = open_.join(large, ["h", "part"], "left_anti") if some else open_
-        done = small.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(lambda b: _sorted_groups(b, size), "h long, c long, s int, e int")
+        done = in_arrow(small.repartition("h", "part").sortWithinPartitions("h", "part"), lambda b: _sorted_groups(b, size), "h long, c long, s int, e int")
         ranges = done if ranges is None else ranges.unionByName(done)
         if not some:
             break

@@ -241,6 +241,22 @@ def test_substrings_around_a_hot_anchor(spark, monkeypatch, at_once, parts):
     assert 0 < sum(w[2] > 0 for w in want) < len(want)
 
 
+def test_substrings_in_batches_of_bounded_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rng = random.Random(5)
+    common = rng.randbytes(150).hex()
+    rows = [(i, rng.randbytes(40).hex() + common * (i % 2) + rng.randbytes(40).hex()) for i in range(40)] + [(1, "copy " * 60)] * 2
+    found = []
+    # before, the limit stayed at 64 MB; one row in a batch gives what one batch of all rows does
+    for given, then in (("64m", 4 << 20), ("1k", 1 << 10)):
+        spark.conf.set(name, given)
+        found.append(sorted(tuple(r) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+        assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == then
+    spark.conf.unset(name)
+    by_hand = removed_by_hand([t for _, t in rows], substrings.SIZE)
+    assert found[0] == found[1] == sorted((i, n, gone, spans, hashlib.sha256(rest).hexdigest()) for (i, _), (n, gone, spans, rest) in zip(rows, by_hand, strict=True))
+
+
 def test_substring_edges(edge):
     rows = substrings.digest(edge).collect()
     by = {r.doc_id: r for r in rows}
