@@ -15,8 +15,6 @@ from tallyhouse.plans.select import ID
 from tallyhouse.refusal import Refused
 from tallyhouse.sources.store import Store, Table
 
-MAX_RECORDS = 1_048_576
-
 
 def field_named(t: Table, name: str) -> Field:
     for f in t.fields:
@@ -147,8 +145,10 @@ def condition(store: Store, t: Table, where: Any) -> Column:
 
 
 def guarded(store: Store, name: str, test: Column, settings: dict[str, int]) -> int:
+    """How many records a write is going to change. Only max_delete_records bounds them: a rewrite holds no ids, and readers keep the old version until it is done."""
     n = store.frame(store.table(name)).where(test).count()
-    if n > min(MAX_RECORDS, settings.get("max_delete_records", MAX_RECORDS)):
+    most = settings.get("max_delete_records")
+    if most is not None and n > most:
         raise Refused("sql_delete_too_large", f"{n} records")
     return n
 

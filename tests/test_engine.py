@@ -225,6 +225,30 @@ def test_writes(own, spark):
     assert rows(own.records("twin", limit=5)) == [(2,)] and rows(own.records("twin", after=2)) == []
 
 
+@pytest.fixture
+def many(spark, tmp_path):
+    """A managed table of which more than 2^20 records are alike."""
+    e = Engine(spark, str(tmp_path / "many"))
+    e.attach("given", spark.range(2**20 + 4).selectExpr("id AS size", "CASE WHEN id < 3 THEN 'few' ELSE 'many' END AS state"), "size")
+    e.sql("CREATE TABLE goods (size UINT(32), state MUTEX)")
+    e.sql("INSERT INTO goods (size, state) SELECT size, state FROM given")
+    return e
+
+
+def test_writes_of_many_records(many):
+    n = 2**20 + 1
+    for text in ("DELETE FROM goods", "UPDATE goods SET size = 5"):
+        with pytest.raises(Refused, match="sql_delete_too_large"):
+            many.sql(f"{text} WHERE state = 'many' SETTINGS max_delete_records = {n - 1}")
+    assert rows(many.sql("SELECT count(*), max(size) FROM goods")) == [(n + 3, n + 2)]
+    assert rows(many.sql("UPDATE goods SET size = 5 WHERE state = 'many'")) == [(n,)]
+    assert rows(many.sql("SELECT count(*), sum(size) FROM goods")) == [(n + 3, 5 * n + 3)]
+    assert rows(many.sql(f"DELETE FROM goods WHERE state = 'many' SETTINGS max_delete_records = {n}")) == [(n,)]
+    many.sql("INSERT INTO goods (size, state) SELECT size, state FROM given")
+    assert rows(many.sql("DELETE FROM goods WHERE state = 'many'")) == [(n,)]
+    assert sorted(rows(many.sql("SELECT size, state FROM goods"))) == [(i, "few") for i in (0, 0, 1, 1, 2, 2)]
+
+
 def test_seen_keys(own, spark):
     keys = spark.createDataFrame([("old",), ("none",), ("new",), ("new",), (None,)], "k string")
     assert sorted(r.k for r in own.seen("stock", "labels", keys).collect()) == ["new", "old"]
