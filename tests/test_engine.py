@@ -326,6 +326,16 @@ def test_store_is_read_again(engine, spark, tmp_path):
     assert rows(engine.sql("SELECT count(*) FROM rides")) == [(9,)]
 
 
+def test_many_deletes_are_compacted_and_restored(many, spark, tmp_path):
+    many.sql("DELETE FROM goods WHERE state = 'many'")
+    many.compact("goods")
+    assert many.store.vacuum("goods") == 2
+    many.backup(str(tmp_path / "copy"))
+    many.sql("TRUNCATE TABLE goods")
+    assert rows(many.sql("SELECT count(*) FROM goods")) == [(0,)]
+    assert sorted(rows(Engine(spark, str(tmp_path / "copy")).sql("SELECT size, state FROM goods"))) == [(0, "few"), (1, "few"), (2, "few")]
+
+
 def test_two_writers(own, spark):
     other = Engine(spark, own.store.root)
     own.sql("CREATE TABLE first (a SET)")
